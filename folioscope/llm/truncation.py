@@ -24,8 +24,8 @@ from folioscope.session import staged
 LIMIT_LEAST, LIMIT_TIMES, LIMIT_MORE, AROUND = 4, 8, 3, 15
 #: A kind of closing line: least number of texts, and least share of all texts, that end with it unfinished; share of its lines that do.
 CLOSING_LEAST, CLOSING_SHARE, CLOSING_OPEN = 3, 2e-4, 0.8
-#: Characters of the end that are inspected (longer last lines are ordinary text).
-END = 600
+#: Characters of the end that are inspected (longer last lines are ordinary text), and those that hold a mark and two words.
+END, MARKED = 600, 80
 
 # Blanks and invisible characters, marks put where a text was cut, ends of sentences. ----------------------
 BLANK = r"[\s\u0085\u00a0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff\u00ad*~=#_]"
@@ -37,7 +37,7 @@ SPOKEN = r"^[—–“«\"„‘-]"
 
 
 def _count(text: Column, what: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
 
 
 def stored_lengths(text: Column) -> dict[str, Column]:
@@ -46,9 +46,8 @@ def stored_lengths(text: Column) -> dict[str, Column]:
     entities = 4 * _count(text, "&") + 3 * (_count(text, "<") + _count(text, ">")) + 5 * (_count(text, '"') + _count(text, "'"))
     escapes = _count(text, '"') + _count(text, "\\") + _count(text, "\n") + _count(text, "\r") + _count(text, "\t")
     returns = _count(text, "\n") - _count(text, "\r\n")
-    astral = points - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", ""))
     ways = {
-        "code points": points, "UTF-8": octets, "UTF-16": points + astral, "entities": points + entities, "entities, UTF-8": octets + entities,
+        "code points": points, "UTF-8": octets, "UTF-16": F.octet_length(F.encode(text, "UTF-16BE")) / 2, "entities": points + entities, "entities, UTF-8": octets + entities,
         "JSON": points + escapes, "JSON, UTF-8": octets + escapes, "CRLF": points + returns, "CRLF, UTF-8": octets + returns,
     }
     return {k: v.cast("bigint") for k, v in ways.items()}
@@ -63,7 +62,7 @@ def endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("same"), F.length(text).alias("n"), F.octet_length(text).alias("bytes"),
         tail.alias("tail"), F.array(*(F.struct(F.lit(k).alias("way"), v.alias("size")) for k, v in ways.items())).alias("sizes"),
     )
-    rows = rows.withColumn("mark", F.regexp_extract("tail", MARK, 0))
+    rows = rows.withColumn("mark", F.regexp_extract(F.substring("tail", -MARKED, MARKED), MARK, 0))
     base = F.regexp_replace(F.expr("left(tail, length(tail) - length(mark))"), BLANK + "+$", "")
     rows = rows.withColumn("base", base).withColumn("mark", F.trim("mark"))
     bare = F.when(F.col("mark") != "", F.array(
@@ -74,9 +73,9 @@ def endings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     masked = F.regexp_replace(line, r"\d+", "#")
     last = F.element_at(F.split("base", r"(?<=[.!?…”»\]])\s+|\n"), -1)
     return rows.select(
-        "id", "source", "same", F.concat("sizes", bare).alias("sizes"), "mark", F.col("base").rlike(CLOSED).alias("closed"),
+        "id", "source", "same", F.concat("sizes", bare).alias("sizes"), "mark", F.substring("base", -MARKED, MARKED).rlike(CLOSED).alias("closed"),
         F.when(F.length(line) < F.least(F.col("n"), F.lit(END)) - 1, masked).alias("line"),
-        F.when(F.col("mark").isin("…", "...") & last.rlike(SPOKEN), F.regexp_extract("base", r"(\S+\s+\S+)$", 1)).alias("words"),
+        F.when(F.col("mark").isin("…", "...") & last.rlike(SPOKEN), F.regexp_extract(F.substring("base", -MARKED, MARKED), r"(\S+\s+\S+)$", 1)).alias("words"),
     ).withColumn("opening", F.regexp_extract("line", r"^\S+(?:\s+\S+)?", 0))
 
 
@@ -111,7 +110,10 @@ def truncated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     broken = lines.withColumn("_after", after).where("n < 2 AND _after IS NOT NULL AND startswith(_after, line)").select("opening", "line", F.lit(True).alias("beginning"))
 
     asked = ends.where("words != ''").select("words").distinct()
-    spoken = df.select(F.xxhash64(F.col(text_col)).alias("same"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"(\S+\s+[^\s…!]+)(?:…|!|\.\.\.)"), 1))).alias("words"))
+    pieces = F.split(F.col(text_col), r"…|!|\.\.\.")
+    stops = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_extract(F.substring(p, -MARKED, MARKED), r"(\S+\s+\S+)$", 1))
+    spoken = df.where(F.col(text_col).contains("…") | F.col(text_col).contains("!") | F.col(text_col).contains("..."))
+    spoken = spoken.select(F.xxhash64(F.col(text_col)).alias("same"), F.explode(F.array_distinct(stops)).alias("words"))
     heard = spoken.join(asked, "words", "left_semi").groupBy("words").agg(F.count_distinct("same").alias("n")).where("n > 1").select("words", F.lit(True).alias("heard"))
 
     all_of = ends.join(known, "opening", "left").join(broken, ["opening", "line"], "left").join(heard, "words", "left").join(hit, "id", "left")
