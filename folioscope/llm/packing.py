@@ -104,7 +104,9 @@ def fill_containers(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n
         return f[["container_id", id_col, "piece_no", "token_start", "n_tokens"]]
 
     schema = f"container_id string, `{id_col}` {kind}, piece_no int, token_start bigint, n_tokens bigint"
-    mixed = loose.repartition(F.col("_bucket")).groupBy("_bucket").applyInPandas(one, schema)
+    # Buckets are small but cost time, so they are spread over all cores whatever their size in bytes.
+    spread = min(buckets, 3 * sizes.sparkSession.sparkContext.defaultParallelism)
+    mixed = loose.repartition(spread, F.col("_bucket")).groupBy("_bucket").applyInPandas(one, schema)
     return none.unionByName(full).unionByName(mixed)
 
 
