@@ -98,7 +98,10 @@ def repeated_lines(df: DataFrame, id_col: str = "chapter_id", url_col: str = "ur
         return f.assign(template=["|".join(templates[i]) for i in taken])[["site", "_leaf", "_local", "template"]]
 
     parts = grown.groupBy("site", "_leaf", "_local").agg(F.sum("n_docs").alias("n"))
-    merged = parts.groupBy("site", "_leaf").applyInPandas(merge, "site string, _leaf bigint, _local string, template string")
+    trees = parts.groupBy("site", "_leaf").agg(F.count("*").alias("_trees"), F.min("_local").alias("_only"))
+    several = parts.join(trees.where("_trees > 1").select("site", "_leaf"), ["site", "_leaf"])
+    merged = several.repartition(df.sparkSession.sparkContext.defaultParallelism, "site", "_leaf").groupBy("site", "_leaf").applyInPandas(merge, "site string, _leaf bigint, _local string, template string")
+    merged = staged(merged.unionByName(trees.where("_trees = 1").select("site", "_leaf", F.col("_only").alias("_local"), F.col("_only").alias("template"))))
     known = grown.join(merged, ["site", "_leaf", "_local"])
     templates = known.groupBy("site", "_leaf", "template").agg(
         F.sum("n_docs").alias("covered"), F.max("n_docs").alias("most_docs"), F.count("*").alias("n_lines"), F.first("_least").alias("least")
