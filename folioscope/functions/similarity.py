@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,21 +61,23 @@ def length_ratio(a: Column, b: Column, if_empty: float = 1.0) -> Column:
     return F.when((x == 0) | (y == 0), F.lit(if_empty)).otherwise(y / x)
 
 
-def repeated_sequence(c: Column, least: int = 5, most: int = 9) -> Column:
-    """A sentence said twice in a row, or a run of 5 to 9 words that repeats at once; null if none."""
-    said = F.regexp_extract(compact(c), r"(?iu)([^.!?]{18,}[.!?])\s+\1", 1)
-    words = long_tokens(c, 3)
-    runs = [
-        F.try_element_at(
-            F.filter(
-                F.transform(F.when(F.size(words) >= 2 * n, F.sequence(F.lit(1), F.size(words) - 2 * n + 1)), lambda i, n=n: F.when(F.slice(words, i, F.lit(n)) == F.slice(words, i + n, F.lit(n)), F.array_join(F.slice(words, i, F.lit(n)), " "))),
-                lambda r: r.isNotNull(),
-            ),
-            F.lit(1),
-        )
-        for n in range(least, most + 1)
-    ]
-    return F.coalesce(F.when(F.size(long_tokens(said, 3)) >= 4, said), *runs)
+def said_twice(parts: Column) -> Column:
+    """Of an array of sentences (a column), the first of 19 characters or more that is followed by itself; null if none."""
+    pairs = F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2))
+    again = F.filter(pairs, lambda i: (F.length(F.get(parts, i)) > 18) & (F.lower(F.get(parts, i)) == F.lower(F.get(parts, i + 1))))
+    return F.get(parts, F.try_element_at(again, F.lit(1)))
+
+
+def repeated_run(words: Column, least: int = 5, most: int = 9) -> Column:
+    """A run of 5 to 9 words that repeats at once; null if none. ``words`` must be a column, not an expression: it is read at every place."""
+
+    def run_of(n: int) -> Column:
+        # Places are compared one by one (a slice would copy the whole array at every place).
+        starts = F.when(F.size(words) >= 2 * n, F.sequence(F.lit(0), F.size(words) - 2 * n))
+        again = F.filter(starts, lambda i: reduce(lambda a, b: a & b, (F.get(words, i + k) == F.get(words, i + n + k) for k in range(n))))
+        return F.array_join(F.slice(words, F.try_element_at(again, F.lit(1)) + 1, F.lit(n)), " ")
+
+    return F.coalesce(*(run_of(n) for n in range(least, most + 1)))
 
 
 def closest_distance(words: Column, left: Column, right: Column) -> Column:

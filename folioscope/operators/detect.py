@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.similarity import dice, edit_similarity, length_ratio, repeated_sequence
-from folioscope.functions.text import comparable, compact, fold, letter_set, numbers, proper_names, punctuation_profile, telling_numbers, text_or_empty, tokens
+from folioscope.functions.similarity import dice, edit_similarity, length_ratio, repeated_run, said_twice
+from folioscope.functions.text import comparable, compact, fold, letter_set, long_tokens, numbers, proper_names, punctuation_profile, telling_numbers, text_or_empty, tokens
 from folioscope.operators.findings import finding, longest_phrases, missing_items, union_all
 from folioscope.operators.match import glossary_hits
 
@@ -68,7 +68,11 @@ def log_findings(log: DataFrame, key: str, source_text: str, target_text: str) -
 
 
 def repetition_findings(df: DataFrame, unit: str, text: str) -> DataFrame:
-    r = df.select(unit, repeated_sequence(F.col(text)).alias("r")).where("r IS NOT NULL")
+    words = df.select(unit, F.split(compact(F.col(text)), r"(?<=[.!?])\s+").alias("_parts"), long_tokens(F.col(text)).alias("_words"))
+    twice = said_twice(F.col("_parts"))
+    said = F.when(F.size(long_tokens(twice)) >= 4, twice)
+    # An explode, not a filter: a filter would be pushed below the columns and cut the text anew at every place.
+    r = words.select(unit, F.explode(F.array_compact(F.array(F.coalesce(said, repeated_run(F.col("_words")))))).alias("r"))
     return finding(r, F.col(unit), "repetition_anomaly", F.when(F.length("r") > 80, "high").otherwise("medium"), detail=F.substring("r", 1, 180))
 
 
@@ -133,8 +137,8 @@ def foreign_terms(df: DataFrame, unit: str, text: str, markers: list[str]) -> Da
 
 def ending_findings(df: DataFrame, unit: str, text: str) -> DataFrame:
     """Ends that look cut: dots, a letter, a comma; and a very short last line."""
-    t = F.trim(F.substring(text_or_empty(F.col(text)), -50, 50))
-    kind = F.when(t.rlike(r"\.\.\.$"), "ends_with_dots").when(t.rlike(r"(?i)[a-z]$"), "ends_with_letter").when(t.rlike(r",$"), "ends_with_comma")
+    t = F.regexp_replace(F.substring(text_or_empty(F.col(text)), -50, 50), r"\s+\z", "")
+    kind = F.when(t.rlike(r"\.\.\.\z"), "ends_with_dots").when(t.rlike(r"(?i)[a-z]\z"), "ends_with_letter").when(t.rlike(r",\z"), "ends_with_comma")
     last = F.try_element_at(F.filter(F.split(text_or_empty(F.col(text)), "\n"), lambda x: F.trim(x) != ""), F.lit(-1))
     lines = F.size(F.filter(F.split(text_or_empty(F.col(text)), "\n"), lambda x: F.trim(x) != ""))
     cut = finding(df.where(kind.isNotNull()), F.col(unit), kind, "WARN")

@@ -32,7 +32,7 @@ def project_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text logs with their file and number (one file is read as one row, so order is certain)."""
-    whole = spark.read.option("wholetext", "true").text(path).withColumn("file", F.col("_metadata.file_path"))
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
@@ -46,7 +46,7 @@ def log_entries(lines: DataFrame, most_notes: int = 500) -> DataFrame:
     rows = rows.withColumn("_text", text_seen).withColumn("_end", F.max(F.when((line == "") & (F.col("_text") > F.col("_start")), F.col("line_no"))).over(w))
     inside = F.col("_start").isNotNull() & (F.col("_end").isNull() | (F.col("_end") < F.col("_start")))
     arrow, pair = r"^(.+?)\s*(?:->|→|=>)\s*(.+)$", r"^([\p{L}][\p{L}\s_-]{0,40}):\s*(.+)$"
-    kind = F.when(line == "", None).when(inside, "instruction").when(line.rlike(arrow), "replacement").when(line.rlike(pair), "field").otherwise("note")
+    kind = F.when((line == "") | starts, None).when(inside, "instruction").when(line.rlike(arrow), "replacement").when(line.rlike(pair), "field").otherwise("note")
     out = rows.select("file", "line_no", kind.alias("kind"), F.when(kind == "replacement", F.regexp_extract(line, arrow, 1)).when(kind == "field", F.regexp_extract(line, pair, 1)).alias("left"), F.when(kind == "replacement", F.regexp_extract(line, arrow, 2)).when(kind == "field", F.regexp_extract(line, pair, 2)).otherwise(line).alias("right")).where("kind IS NOT NULL")
     n = F.row_number().over(Window.partitionBy("file", "kind").orderBy("line_no"))
     return out.withColumn("_n", n).where((F.col("kind") != "note") | (F.col("_n") <= most_notes)).drop("_n")
@@ -54,7 +54,7 @@ def log_entries(lines: DataFrame, most_notes: int = 500) -> DataFrame:
 
 def markdown_chapters(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files with ``chapters: 1-3, 7`` lines: one row a chapter they cover."""
-    whole = spark.read.option("wholetext", "true").text(path).withColumn("file", F.col("_metadata.file_path"))
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     listed = F.regexp_extract("value", r"(?im)^(?:audit[_ ])?chapters?\s*:\s*(.+)$", 1)
     body = F.regexp_replace("value", r"(?m)^[A-Za-z_ ]+:\s.*\n?", "")
     return whole.select("file", body.alias("text"), F.explode(numbers_of(listed, F.lit(9_999))).alias("chapter"))
