@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.graph import components
-from folioscope.llm.nameforms import forms
+from folioscope.llm.nameforms import NICKNAMES, forms
 from folioscope.session import staged
 
 #: Records that must hold a part of a name for it to be known.
@@ -80,8 +80,11 @@ def lone_forms(known: DataFrame) -> DataFrame:
     rows = F.expr("CAST(NULL AS array<struct<space: string, key: string, q: string>>)")
     of = lambda *r: F.array(*(F.struct(F.lit(s).alias("space"), F.col(k).alias("key"), q.alias("q")) for s, k, q in r))
     cut = F.transform(F.when(F.length("a") > 3, F.sequence(F.lit(3), F.length("a") - 1)), lambda i: F.struct(F.lit("short").alias("space"), F.col("b").alias("key"), F.substring(F.col("a"), F.lit(1), i).alias("q")))
+    # Initials stand for the full first name, which is among the forms of a nickname, too.
+    short = sorted({n for ns in NICKNAMES.values() for n in ns.split()} - set(NICKNAMES))
+    named = F.when(F.col("a").isin(short), of(("given", "a", none), ("cut", "a", first("b")))).otherwise(of(("initial", "b", first("a")), ("given", "a", none), ("cut", "a", first("b"))))
     kinds = (
-        F.when(F.col("kind") == "full", F.concat(of(("initial", "b", first("a")), ("given", "a", none), ("cut", "a", first("b"))), F.coalesce(cut, F.array())))
+        F.when(F.col("kind") == "full", F.concat(named, F.coalesce(cut, F.array())))
         .when(F.col("kind") == "sound", of(("soundgiven", "b", none)))
         .when(F.col("kind") == "soundletters", of(("soundinitial", "key", F.col("a"))))
         .when(F.col("kind") == "orghead", of(("head", "key", none), ("orginitial", "b", first("key"))))

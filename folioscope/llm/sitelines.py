@@ -114,7 +114,8 @@ def repeated_lines(df: DataFrame, id_col: str = "chapter_id", url_col: str = "ur
 
 def without_repeated(df: DataFrame, found: DataFrame, id_col: str = "chapter_id", array_col: str = "paragraphs") -> DataFrame:
     """Every row with its array as it is without the found lines; ``removed`` counts them."""
-    out = found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.col("paragraph_index").cast("int")).alias("_out"))
-    joined = df.join(out, df[id_col] == out["_id"], "left")
-    kept = F.when(F.col("_out").isNull(), F.col(array_col)).otherwise(F.filter(F.col(array_col), lambda p, i: ~F.array_contains("_out", i)))
-    return joined.withColumn(array_col, kept).withColumn("removed", F.coalesce(F.size("_out"), F.lit(0))).drop("_id", "_out")
+    # Names that no input column has, so that extra columns of any name stay untouched.
+    out = found.groupBy(F.col(id_col).alias("__found_id")).agg(F.collect_set(F.col("paragraph_index").cast("int")).alias("__found"))
+    joined = df.join(out, df[id_col] == out["__found_id"], "left")
+    kept = F.when(F.col("__found").isNull(), F.col(array_col)).otherwise(F.filter(F.col(array_col), lambda p, i: ~F.array_contains("__found", i)))
+    return joined.withColumn(array_col, kept).withColumn("removed", F.when(F.col("__found").isNull(), 0).otherwise(F.size("__found"))).drop("__found_id", "__found")
