@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions.similarity import overlap
-from folioscope.functions.text import codes, compact, count_lines, count_paragraphs, fold, letter_set, numbers, proper_names, text_or_empty
+from folioscope.functions.text import codes, compact, count_lines, count_paragraphs, fold, let, letter_set, numbers, proper_names, text_or_empty
 
 PREAMBLE = r"(?iu)^\s*(?:sure|certainly|of course|here(?:'s| is)|aqui está|claro|segue|voici|bien sûr|por supuesto|aquí está)\b[^\n]{0,120}[:!.]\s*\n*"
 LABEL = r"(?iu)^\s*(?:translation|tradução|traducción|traduction|answer|resposta|respuesta|réponse)\s*:\s*"
@@ -54,7 +54,7 @@ def by_dictionary(c: Column, pairs: dict[str, str]) -> Column:
 
 
 def missing_names(source: Column, output: Column) -> Column:
-    return F.filter(proper_names(source), lambda n: ~F.contains(fold(output), fold(n)))
+    return let(fold(output), lambda t: F.filter(proper_names(source), lambda n: ~F.contains(t, fold(n))))
 
 
 def many_names_missing(source: Column, output: Column, least: int = 3, share: float = 0.2) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import compact, fold, long_tokens
+from folioscope.functions.text import compact, fold, let
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -22,15 +22,14 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(c), r"\s+", "")
-    return F.when(F.length(t) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    pairs = lambda t: F.when(F.length(t) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return let(F.regexp_replace(F.lower(c), r"\s+", ""), pairs)
 
 
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of the different character bigrams."""
-    x, y = bigrams(a), bigrams(b)
-    n = F.size(x) + F.size(y)
-    return F.when(n > 0, 2 * F.size(F.array_intersect(x, y)) / n).otherwise(F.lit(0.0))
+    of = lambda x, y: F.when(F.size(x) + F.size(y) > 0, 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))).otherwise(F.lit(0.0))
+    return let(bigrams(a), lambda x: let(bigrams(b), lambda y: of(x, y)))
 
 
 def jaccard(x: Column, y: Column, digits: int = 3) -> Column:

@@ -7,7 +7,7 @@ ignored with ``(?iu)``, and a word edge is "no letter or digit beside it", the s
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +21,11 @@ PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiinnnooooooorsstuuuuuuuyyzzz"
 assert len(ACCENTED) == len(PLAIN)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: an expression named inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

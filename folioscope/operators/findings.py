@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import comparable
+from folioscope.functions.text import comparable, let
 
 WEIGHT = {"FAIL": 0, "high": 0, "WARN": 1, "medium": 1, "INFO": 2, "low": 2}
 
@@ -90,8 +90,7 @@ def longest_phrases(found: Column) -> Column:
 
 
 def missing_items(wanted: Column, text: Column) -> Column:
-    t = comparable(text)
-    return F.filter(wanted, lambda x: ~F.contains(t, comparable(x)))
+    return let(comparable(text), lambda t: F.filter(wanted, lambda x: ~F.contains(t, comparable(x))))
 
 
 def impact(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import headings, model_text, similarity, text
 from folioscope.operators import aggregate, align, correct, detect, findings, match, segment, windows
+from folioscope.plans import pipelines
 from folioscope.session import table
 from folioscope.streaming import events as stream
 
@@ -617,6 +618,46 @@ def model_output_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", model_text.worst(p).alias("severity"), F.array_join(F.transform(p, lambda x: x["code"]), ",").alias("codes"))
 
 
+# Composite plans ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def semantic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.semantic_audit(paired_sections(spark, sf_dir), table(spark, sf_dir, "terms"), "book_id", "section_index", "unit", "a", "b")
+
+
+@query()
+def comparison_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = spark.createDataFrame([], "stable_key string")
+    categories = spark.createDataFrame([("chapter_missing",), ("numbers_missing",), ("names_missing",), ("editorial",)], "category string")
+    return pipelines.comparison_audit(paired_sections(spark, sf_dir), table(spark, sf_dir, "terms"), resolved, categories, "unit", "a", "b")[1].select("category", "n")
+
+
+@query(f"""
+WITH b AS {BOOKS}, r AS (SELECT *, lag(last_chapter) OVER (PARTITION BY source ORDER BY first_chapter NULLS LAST, book_id) AS p FROM b WHERE first_chapter <= last_chapter),
+e AS (SELECT source, book_id, unnest(range(first_chapter, last_chapter + 1)) AS n FROM b WHERE first_chapter <= last_chapter),
+x AS (SELECT source, 'AMBIGUOUS_RANGE' AS code, 1 AS err FROM b WHERE first_chapter IS NULL OR last_chapter IS NULL UNION ALL SELECT source, 'INVALID_RANGE', 1 FROM b WHERE first_chapter > last_chapter
+  UNION ALL SELECT source, CASE WHEN first_chapter > p + 1 THEN 'GAP' ELSE 'OVERLAP' END, CASE WHEN first_chapter > p + 1 THEN 0 ELSE 1 END FROM r WHERE first_chapter > p + 1 OR first_chapter <= p
+  UNION ALL SELECT source, 'DUPLICATE_CHAPTERS', 1 FROM (SELECT source, n FROM e GROUP BY source, n HAVING count(DISTINCT book_id) > 1)
+  UNION ALL SELECT source, 'METADATA_DIFFERENCE', 0 FROM b GROUP BY source HAVING count(DISTINCT coalesce(publisher, '(none)')) > 1)
+SELECT source, code, count(*) AS n, CASE WHEN max(max(err)) OVER (PARTITION BY source) = 1 THEN 'blocked' ELSE 'ready_for_merge' END AS status FROM x GROUP BY source, code
+""")
+def merge_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pipelines.merge_precheck(table(spark, sf_dir, "books").distinct(), "source", "book_id", "first_chapter", "last_chapter", ["publisher"])
+    return out.groupBy("source", "code", "status").agg(F.count("*").alias("n"))
+
+
+@query()
+def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "sections").dropDuplicates(["section_id"])
+    return pipelines.structure(s, table(spark, sf_dir, "books"), "book_id", "edition", "section_index", "title", "chapter_number", "first_chapter", "last_chapter")
+
+
+@query()
+def fix_and_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.fix_and_compare(table(spark, sf_dir, "documents"), "doc_id", "text", FIX, RULES)
+
+
 # Events (extension) ------------------------------------------------------------------------------------------------------
 
 
