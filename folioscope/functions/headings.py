@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import compact, fold, heading_key, title_case
 
+# What counts as a heading, and where a section's number stands in title and path.
 PREFIX = r"(?iu)^(cap[ií]tulo|chapter|chapitre|cap\.)\s+(\d{1,4})(?:\s*[.:—–-]\s*|\s+)(.+)$"
 NUMBERED = r"^(\d{1,4})[.)]\s+(.+)$"
+SECTION_NUMBERS = (r"(?iu)(?:chapter|cap[ií]tulo|chapitre)[_\s-]*0*(\d{1,4})", r"(?i)Text/0*(\d{1,4})[_-]", r"/0*(\d{1,4})[_-]")
 #: Portuguese number words.
 NUMBER_WORDS = {w: i for i, w in enumerate("zero um dois tres quatro cinco seis sete oito nove dez onze doze treze quatorze quinze dezesseis dezessete dezoito dezenove vinte".split())}
 NUMBER_WORDS |= {"uma": 1, "duas": 2, "catorze": 14, "trinta": 30, "quarenta": 40, "cinquenta": 50, "sessenta": 60, "setenta": 70, "oitenta": 80, "noventa": 90, "cem": 100, "cento": 100, "duzentos": 200, "trezentos": 300, "quatrocentos": 400, "quinhentos": 500}
@@ -30,8 +32,7 @@ def without_number(c: Column) -> Column:
 def number_of_section(title: Column, path: Column) -> Column:
     """Chapter number from title and path; the first of three patterns that fits."""
     value = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(path, F.lit("")))
-    patterns = (r"(?iu)(?:chapter|cap[ií]tulo|chapitre)[_\s-]*0*(\d{1,4})", r"(?i)Text/0*(\d{1,4})[_-]", r"/0*(\d{1,4})[_-]")
-    return F.coalesce(*(F.regexp_extract(value, p, 1).try_cast("int") for p in patterns))
+    return F.coalesce(*(F.regexp_extract(value, p, 1).try_cast("int") for p in SECTION_NUMBERS))
 
 
 def parse_heading(c: Column, tag: Column | None = None, in_sequence: Column | None = None) -> Column:

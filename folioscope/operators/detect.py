@@ -23,6 +23,8 @@ MARKERS = {
     "en": "the and with was were that this from into her his they their".split(), "pt": "não uma com para mais pela pelo você então também".split(),
     "es": "los las una con para más pero había está también".split(), "fr": "les des une dans pour avec était cette mais sans".split(),
 }
+#: Portuguese forms of address (folded).
+INFORMAL, FAMILIAR, FORMAL = r"\b(?:voce|voces)\b", r"\b(?:tu|teu|tua|teus|tuas|contigo)\b", r"\b(?:o senhor|a senhora|vossa|vosso)\b"
 
 
 def by_rules(df: DataFrame, unit: str, text: str, rules: list[Rule]) -> DataFrame:
@@ -76,7 +78,7 @@ def repetition_findings(df: DataFrame, unit: str, text: str) -> DataFrame:
     return finding(r, F.col(unit), "repetition_anomaly", F.when(F.length("r") > 80, "high").otherwise("medium"), detail=F.substring("r", 1, 180))
 
 
-def treatment_findings(df: DataFrame, unit: str, text: str, informal: str = r"\b(?:voce|voces)\b", familiar: str = r"\b(?:tu|teu|tua|teus|tuas|contigo)\b", formal: str = r"\b(?:o senhor|a senhora|vossa|vosso)\b") -> DataFrame:
+def treatment_findings(df: DataFrame, unit: str, text: str, informal: str = INFORMAL, familiar: str = FAMILIAR, formal: str = FORMAL) -> DataFrame:
     """Two ways of address inside the quotes of one paragraph."""
     q = fold(F.array_join(F.regexp_extract_all(text_or_empty(F.col(text)), F.lit("[\"“«][^\"”»]{8,}[\"”»]"), 0), " "))
     kind = F.when(q.rlike(informal) & q.rlike(familiar), "informal and familiar").when(q.rlike(informal) & q.rlike(formal), "informal and formal")
