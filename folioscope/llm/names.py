@@ -7,8 +7,10 @@ segments unchanged and shifted by at most k, so its position-shifted substrings
 banded edit distance verifies. A name is linked to the nearest known name if that is one entity. Records that hold no
 whole name (initials, a part, an acronym) are linked if exactly one entity of the book fits.
 
-A part of a name is known if it occurs in enough records of the whole table; two names of known parts are never taken
-for misspellings of each other, so relatives stay apart. Links are closed to components. Defined results: null and
+A part of a name is known if it occurs in enough records of the whole table; two names of known parts are not taken for
+misspellings of each other, so relatives stay apart. The same misspelling gets as many records in a large table, too: a
+name is looked up all the same if the book holds one within k edits, each differing part of which is ``COMMONER`` times
+as frequent. That ratio does not change with the size of the table. Links are closed to components. Defined results: null and
 blank names give no link; records without book are left out; repeated rows count once; a record that fits several
 entities equally stays alone.
 """
@@ -27,6 +29,8 @@ from folioscope.session import staged
 
 #: Records that must hold a part of a name for it to be known.
 KNOWN = 3
+#: How many times as frequent a part must be for a known part near it to be its misspelling.
+COMMONER = 10
 
 
 def name_forms(entities: DataFrame) -> DataFrame:
@@ -110,20 +114,28 @@ def link_entities(entities: DataFrame, known: int = KNOWN) -> DataFrame:
     joined = rows.where("(kind = 'joined' AND length(key) >= 8) OR (kind = 'soundjoined' AND length(key) >= 7)")
     joined = joined.withColumn("space", F.when(F.col("kind") == "joined", "full").otherwise("sound"))
 
-    part = whole.select("space", "node", F.explode(F.array("a", "b")).alias("part")).distinct().groupBy("space", "part").agg(F.count("*").alias("n")).where(F.col("n") >= known).select("space", "part")
-    sure = whole.join(part.withColumnRenamed("part", "a"), ["space", "a"], "left_semi").join(part.withColumnRenamed("part", "b"), ["space", "b"], "left_semi")
-    sure = sure.select("book_id", "space", "key").distinct().withColumn("sure", F.lit(True))
-    keys = whole.groupBy("book_id", "space", "key").agg(F.min("node").alias("holder")).join(sure, ["book_id", "space", "key"], "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
-    keys = staged(keys)
+    part = whole.select("space", "node", F.explode(F.array("a", "b")).alias("part")).distinct().groupBy("space", "part").agg(F.count("*").alias("n"))
+    counted = lambda c: part.select("space", F.col("part").alias(c), F.col("n").alias(f"{c}_n"))
+    ways = whole.select("space", "key", "a", "b").distinct().join(counted("a"), ["space", "a"]).join(counted("b"), ["space", "b"])
+    ways = ways.groupBy("space", "key").agg(F.max(F.struct(F.least("a_n", "b_n").alias("least"), "a", "b", "a_n", "b_n")).alias("way"))
+    keys = whole.groupBy("book_id", "space", "key").agg(F.min("node").alias("holder")).join(ways, ["space", "key"])
+    keys = staged(keys.withColumn("often", F.col("way.least") >= known))
 
     held = whole.select("node", "book_id", "space", "key").unionByName(joined.select("node", "book_id", "space", "key")).distinct()
     exact = held.join(keys, ["book_id", "space", "key"]).select(F.col("node").alias("a"), F.col("holder").alias("b"))
-    unknown = held.join(keys.where("sure").select("book_id", "space", "key"), ["book_id", "space", "key"], "left_anti").withColumnRenamed("key", "source")
     allowed = F.when(F.length("source") < 6, 0).when(F.length("source") < 8, 1).otherwise(2)
     near = near_keys(
-        unknown.select("book_id", "space", "source", allowed.alias("k")).where("k > 0").distinct(),
+        held.select("book_id", "space", F.col("key").alias("source")).distinct().select("book_id", "space", "source", allowed.alias("k")).where("k > 0"),
         keys.select("book_id", "space", F.col("key").alias("target")),
     )
+    own = keys.select("book_id", "space", F.col("key").alias("source"), F.col("way").alias("own"), F.col("often").alias("own_often"))
+    near = near.join(keys.select("book_id", "space", F.col("key").alias("target"), "way"), ["book_id", "space", "target"]).join(own, ["book_id", "space", "source"], "left")
+    commoner = [(F.col(f"way.{c}") == F.col(f"own.{c}")) | (F.col(f"way.{c}_n") >= COMMONER * F.col(f"own.{c}_n")) for c in ("a", "b")]
+    near = staged(near.where(~F.coalesce("own_often", F.lit(False)) | (commoner[0] & commoner[1])).select("book_id", "space", "source", "target", "edits", F.coalesce("own_often", F.lit(False)).alias("own_often")))
+    doubted = near.where("own_often").select("book_id", "space", F.col("source").alias("key")).distinct().withColumn("doubted", F.lit(True))
+    keys = staged(keys.join(doubted, ["book_id", "space", "key"], "left").select("book_id", "space", "key", "holder", (F.col("often") & F.col("doubted").isNull()).alias("sure")))
+    near = near.drop("own_often")
+    unknown = held.join(keys.where("sure").select("book_id", "space", "key"), ["book_id", "space", "key"], "left_anti").withColumnRenamed("key", "source")
     first = staged(components(exact))
     best = near.join(keys.select("book_id", "space", F.col("key").alias("target"), "holder", "sure"), ["book_id", "space", "target"])
     best = best.join(first, F.col("holder") == F.col("node"), "left").select("book_id", "space", "source", F.coalesce("label", "holder").alias("to"), F.struct(~F.col("sure"), F.col("edits")).alias("rank"))

@@ -276,6 +276,16 @@ def test_entities(spark):
     assert names.entity_pairs(df.limit(0)).count() == 0
 
 
+def test_misspelling_that_recurs_in_other_books(spark):
+    data = [(100 * b + i, b, name) for b in (1, 2, 3) for i, name in enumerate(["Lorel Duskwick"] * 12 + ["Lora Duskwick"] * 12 + ["Lorel Dusckwick"])]
+    frame = spark.createDataFrame(data, "entity_id bigint, book_id bigint, canonical string").withColumn("original_name", F.lit(None).cast("string"))
+    frame = frame.withColumn("aliases", F.lit(None).cast("array<struct<from_text: string>>"))
+    label = {(r.book_id, r.entity_id % 100): r.label for r in names.link_entities(frame).collect()}
+    for b in (1, 2, 3):
+        assert label[b, 24] == label[b, 0] == label[b, 11]  # three records hold 'Dusckwick', one in each book
+        assert label[b, 12] != label[b, 0]  # as frequent a first name near it is another person
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
