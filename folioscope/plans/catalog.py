@@ -314,11 +314,13 @@ def section_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.section_findings(both, unit, "source_char_count", "target_char_count", "source_n", "target_n").select("unit", "type", "severity")
 
 
-def paired_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paired_sections(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """Texts ``a`` and ``b`` of the two editions by book and index; a full outer join keeps what one edition lacks, as null."""
     s, t = editions(spark, sf_dir)
-    flat = lambda d, c: d.select("book_id", "section_index", F.array_join("paragraphs", "\n").alias(c))
+    joined = F.array_join("paragraphs", "\n")
+    flat = lambda d, c: d.select("book_id", "section_index", (joined if how == "inner" else F.coalesce(joined, F.lit(""))).alias(c))
     first = lambda d: windows.keep_first(d, ["book_id", "section_index"], ["section_id"])
-    return flat(first(s), "a").join(flat(first(t), "b"), ["book_id", "section_index"]).withColumn("unit", F.concat_ws("-", "book_id", "section_index"))
+    return flat(first(s), "a").join(flat(first(t), "b"), ["book_id", "section_index"], how).withColumn("unit", F.concat_ws("-", "book_id", "section_index"))
 
 
 PAIRED = """WITH f AS (SELECT *, row_number() OVER (PARTITION BY book_id, edition, section_index ORDER BY section_id) AS r FROM sections),
@@ -346,7 +348,7 @@ def pair_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def coverage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.coverage_findings(paired_sections(spark, sf_dir), "unit", "a", "b")
+    return detect.coverage_findings(paired_sections(spark, sf_dir, "full"), "unit", "a", "b")
 
 
 @query(f"""
@@ -630,7 +632,7 @@ def semantic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparison_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = spark.createDataFrame([], "stable_key string")
     categories = spark.createDataFrame([("chapter_missing",), ("numbers_missing",), ("names_missing",), ("editorial",)], "category string")
-    return pipelines.comparison_audit(paired_sections(spark, sf_dir), table(spark, sf_dir, "terms"), resolved, categories, "unit", "a", "b")[1].select("category", "n")
+    return pipelines.comparison_audit(paired_sections(spark, sf_dir, "full"), table(spark, sf_dir, "terms"), resolved, categories, "unit", "a", "b")[1].select("category", "n")
 
 
 @query(f"""

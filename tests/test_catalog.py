@@ -40,3 +40,11 @@ def test_query(spark, db, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
     if name in catalog.ORACLE:
         assert table(got) == table(db.execute(catalog.ORACLE[name]).df())
+
+
+def test_chapters_of_one_edition_only(spark):
+    sections = spark.read.parquet(f"{SF}/sections.parquet").select("book_id", "section_index", "edition").distinct()
+    a, b = (sections.where(f"edition = '{e}'").drop("edition") for e in ("source", "translation"))
+    lost = a.join(b, ["book_id", "section_index"], "left_anti").count()
+    assert lost > 0 and catalog.QUERIES["coverage_findings"](spark, SF).where("type = 'chapter_missing'").count() == lost
+    assert catalog.QUERIES["comparison_audit"](spark, SF).where("category = 'chapter_missing'").first()["n"] == lost
