@@ -165,15 +165,26 @@ def boundary_findings(pairs: DataFrame, unit: str, source: str, target: str, kin
 def name_variants(names: DataFrame, block: list[str], name: str, count: str, alike: float = 0.78, gap: int = 6, total: int = 4) -> DataFrame:
     """Groups of spellings of one name within a block: the most frequent leads, the others join in order of frequency.
 
-    Candidates come from an equi-join on the block and the first letters; the greedy choice runs over the few candidates.
+    Candidates come from a pigeonhole segment join within the block, which is complete for the similarity: of the longer
+    name (length L) cut into k+1 segments, k = (1 - alike) * L, one is in the shorter name, shifted by at most k. The
+    greedy choice runs over the few candidates.
     """
-    rows = names.select(*block, F.col(name).alias("name"), F.col(count).alias("n"), F.substring(comparable(F.col(name)), 1, 2).alias("_p"))
+    rows = names.select(*block, F.col(name).alias("name"), F.col(count).alias("n"), F.lower(name).alias("_low")).where("name IS NOT NULL")
     kinds = ", ".join(f"`{c}` {names.schema[c].dataType.simpleString()}" for c in block)
-    a, b = rows.alias("a"), rows.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*block, "_p"]]
-    near = a.join(b, on).where("a.n > b.n OR (a.n = b.n AND a.name < b.name)").where(F.abs(F.length("a.name") - F.length("b.name")) <= gap)
+    size, length = F.length("_low"), F.col("_length")
+    k = F.floor((1 - alike) * length + 1e-9).cast("int")
+    start, end = (F.floor((F.col("_part") + x) * length / (k + 1)).cast("int") for x in (0, 1))
+    at = start + F.col("_shift")
+    cut = lambda d: d.withColumn("_part", F.explode(F.sequence(F.lit(0), k)))
+    index = cut(rows.withColumn("_length", size)).select(*block, "_length", "_part", F.substring(F.col("_low"), start + 1, end - start).alias("_segment"), F.col("name").alias("_long"))
+    probe = cut(rows.withColumn("_length", F.explode(F.sequence(size, F.floor(size / alike + 1e-9).cast("int"))))).withColumn("_shift", F.explode(F.sequence(-k, k))).where((at >= 0) & (at + end - start <= size))
+    probe = probe.select(*block, "_length", "_part", F.substring(F.col("_low"), at + 1, end - start).alias("_segment"), F.col("name").alias("_short")).distinct()
+    found = probe.join(index, [*block, "_length", "_part", "_segment"]).where("_long != _short").select(*block, F.explode(F.array(F.struct(F.col("_long").alias("x"), F.col("_short").alias("y")), F.struct(F.col("_short").alias("x"), F.col("_long").alias("y")))).alias("_p"))
+    found = found.select(*block, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y")).distinct()
+    a, b = (rows.select(*block, F.col("name").alias(k_), F.struct("name", "n").alias(s_)) for k_, s_ in (("_x", "a"), ("_y", "b")))
+    near = found.join(a, [*block, "_x"]).join(b, [*block, "_y"]).where("a.n > b.n OR (a.n = b.n AND a.name < b.name)").where(F.abs(F.length("a.name") - F.length("b.name")) <= gap)
     near = near.where(edit_similarity(F.lower("a.name"), F.lower("b.name")) >= alike).where(F.col("a.n") + F.col("b.n") >= total)
-    near = near.select(*[F.col(f"a.{c}").alias(c) for c in block], F.col("a.name").alias("lead"), F.col("a.n").alias("lead_n"), F.col("b.name").alias("variant"), F.col("b.n").alias("variant_n"))
+    near = near.select(*block, F.col("a.name").alias("lead"), F.col("a.n").alias("lead_n"), F.col("b.name").alias("variant"), F.col("b.n").alias("variant_n"))
 
     def choose(f: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []

@@ -121,6 +121,13 @@ def test_detectors(spark):
     assert {r.type for r in detect.pair_findings(pairs, "u", "s", "t").collect()} >= {"omission_or_expansion", "number_missing"}
 
 
+def test_name_variants_that_differ_at_the_start(spark):
+    names = ["Bing Geum-hae", "Ping Geum-hae", "Crimson Compass Brotherhood", "The Crimson Compass Brotherhood", "Vesvon Harrowmore", "Dr. Vesvon Harrowmore", "Rui", "RUI", "Ana", ""]
+    df = spark.createDataFrame([(b, n, 9 - i) for b in (1, 2) for i, n in enumerate(names)] + [(3, "Ping Geum-hae", 2)], "book int, name string, n bigint")
+    want = [(b, x, y) for b in (1, 2) for x, y in zip(names[:8:2], names[1:8:2])]
+    assert rows(detect.name_variants(df, ["book"], "name", "n", total=0), "book", "lead", "variant") == sorted(want, key=repr)
+
+
 def test_gates_and_queue(spark):
     df = spark.createDataFrame([("auto_safe", 0.95, "a", "b"), ("auto_safe", 0.5, "a", "b"), ("manual_only", 0.99, "a", "b"), ("auto_safe", 0.99, "a", "a")], "m string, c double, x string, y string")
     passed, skipped = validate.gate(df, validate.skip_reason(*(F.col(c) for c in ("m", "c", "x", "y"))))
