@@ -372,6 +372,13 @@ def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.where(similarity.within_edits(a, b, 3)).select("canonical", "original_name", F.levenshtein(a, b).cast("bigint").alias("edits")).distinct()
 
 
+@query()
+def levenshtein_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``levenshtein_pairs`` over all rows; distances count code points, so the byte-counting SQL is no twin."""
+    a, b = F.col("canonical"), F.col("original_name")
+    return table(spark, sf_dir, "entities").where(similarity.within_edits(a, b, 3)).select("canonical", "original_name", F.levenshtein(a, b).cast("bigint").alias("edits")).distinct()
+
+
 def _grams(c: str) -> str:
     return rf"list_distinct(list_transform(range(1, length({c})), lambda i: substring({c}, i, 2)))"
 

@@ -48,3 +48,10 @@ def test_chapters_of_one_edition_only(spark):
     lost = a.join(b, ["book_id", "section_index"], "left_anti").count()
     assert lost > 0 and catalog.QUERIES["coverage_findings"](spark, SF).where("type = 'chapter_missing'").count() == lost
     assert catalog.QUERIES["comparison_audit"](spark, SF).where("category = 'chapter_missing'").first()["n"] == lost
+
+
+def test_edits_of_all_names(spark, tmp_path):
+    data = [("José", "Jose"), ("봉별금", "봉별굼"), ("Ana", "Anna"), ("Ana", None), ("Zoë", "Benjamin")]
+    spark.createDataFrame(data, "canonical string, original_name string").write.parquet(f"{tmp_path}/entities.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["levenshtein_pairs_all"](spark, str(tmp_path)).collect()}
+    assert got == {("José", "Jose", 1), ("봉별금", "봉별굼", 1), ("Ana", "Anna", 1)}
