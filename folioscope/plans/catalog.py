@@ -236,9 +236,9 @@ def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def group_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, _ = editions(spark, sf_dir)
     size = F.aggregate("paragraphs", F.lit(0), lambda a, p: a + F.coalesce(F.octet_length(p), F.lit(0)))
-    return segment.group_by_size(s, "book_id", "section_index", size, 4_000)
+    s, t = (segment.group_by_size(d, "book_id", "section_index", size, 4_000).withColumn("edition", F.lit(e)) for d, e in zip(editions(spark, sf_dir), ("source", "translation")))
+    return s.unionByName(t)
 
 
 # Alignment ---------------------------------------------------------------------------------------------------------------

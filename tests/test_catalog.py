@@ -55,3 +55,9 @@ def test_edits_of_all_names(spark, tmp_path):
     spark.createDataFrame(data, "canonical string, original_name string").write.parquet(f"{tmp_path}/entities.parquet")
     got = {tuple(r) for r in catalog.QUERIES["levenshtein_pairs_all"](spark, str(tmp_path)).collect()}
     assert got == {("José", "Jose", 1), ("봉별금", "봉별굼", 1), ("Ana", "Anna", 1)}
+
+
+def test_groups_of_both_editions(spark):
+    got = catalog.QUERIES["group_by_size"](spark, SF).groupBy("edition").count().collect()
+    want = spark.read.parquet(f"{SF}/sections.parquet").dropDuplicates(["section_id"]).groupBy("edition").count().collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want}
