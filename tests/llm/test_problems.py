@@ -337,3 +337,16 @@ def test_alignment(spark):
     got = {(r.source_node, r.target_node) for r in alignment.align(df, books).collect()}
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.03 * len(want), (len(got & want), len(want), len(got - want))
     assert alignment.align(df.limit(0), books.limit(0)).count() == 0
+
+
+def test_windows_need_no_joiner(spark):
+    """Two sentences that one sentence renders are found by their vectors alone: neighbours, and parts that stand apart."""
+    unit = lambda place, *dims: [(1, place, place / 20.0, d, 1.0) for d in dims]
+    rows_ = unit(2, 1, 2, 3, 4, 5, 6) + unit(3, 1, 2, 3) + unit(5, 4, 5, 6)  # 2 renders its neighbours 3 and 5
+    rows_ += unit(4, 11, 12, 13, 14, 15, 16) + unit(7, 11, 12, 13, 14) + unit(13, 15, 16)  # 4 renders 7 and, moved, 13
+    rows_ += unit(6, 21, 22) + unit(9, 21, 22) + unit(8, 31) + unit(11, 41)
+    df = spark.createDataFrame(rows_, "pair bigint, place int, pos double, dim bigint, v double")
+    cosines = alignment.sentence_cosines(df)
+    chosen = alignment.mutual_best(alignment.spans(cosines))
+    assert sorted(sorted(r.places) for r in chosen.collect()) == [[2, 3, 5], [4, 7], [6, 9]]
+    assert [sorted(r.places) for r in alignment.mutual_best(alignment.widened(chosen, cosines)).collect()] == [[4, 13]]
