@@ -1,9 +1,10 @@
 """Problem 4: broken prompt and response pairs.
 
 Method. Responses are stripped of labels, courtesies, fences and marks to their core. The different cores are sorted by
-text (range partitions, neighbours across partition edges included) and compared with their neighbours: one whose whole
-text is the common prefix with the next one, going on there within a word, is a shortened version. Lengths shared by
-unfinished responses far more than the lengths around them are limits of a model. Then the rules: empty, refusal (outside of what
+text without an ellipsis at the end (range partitions, neighbours across partition edges included) and compared with their
+neighbours: one whose whole text is a prefix of those that follow, one of which goes on within a word, is a shortened
+version. Lengths shared by unfinished responses far more than the lengths around them are limits of a model. Both decide
+where the ending leaves it open. Then the rules: empty, refusal (outside of what
 characters say), copy of the instruction or the paragraph (hashes of the letters, so paragraphs are not moved), a broken
 end, and another language than expected by the n-gram model, fitted on a bounded sample of responses.
 
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 from folioscope.llm import langid
 from folioscope.session import staged
 
-#: Bound of the sample for the language model: responses of each language.
-SAMPLE = 1_500
+#: Bound of the sample for the language model: responses of each language (up to 1,000 the engine ranks within partitions
+#: first), and their characters.
+SAMPLE, SAMPLE_CHARS = 1_000, 20_000
+#: Least number of characters of a response that may be a shortened one.
+STEM = 8
 LIMIT_LEAST, LIMIT_TIMES, LIMIT_MORE, AROUND = 5, 8, 3, 10
 
 # Labels, courtesies, placeholders, refusals. ------------------------------------------------------------
@@ -87,43 +91,54 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
+def stem_of(core: Column) -> Column:
+    """A response without the ellipsis at its end, which is what it is sorted by."""
+    dots = core.rlike(r"(?:…|\.\.\.)$")
+    return F.when(dots, F.rtrim(core, F.lit("…. \n\t"))).otherwise(core)
+
+
 def shortened(cores: DataFrame) -> DataFrame:
-    """``core`` of responses that are a proper beginning of another, which goes on within a word or sentence.
+    """``core`` of responses that are a proper beginning of another, which goes on within a word.
 
-    ``cores`` has distinct texts. They are sorted in range partitions; only the first text of each partition travels to
-    the one before it.
+    ``cores`` has distinct texts. They are sorted by their stems in range partitions; the stems that the text at hand goes
+    on from form a stack, so a neighbour that goes on otherwise hides none behind it. What the last text of a partition
+    still goes on from is joined with the texts of the other partitions on the first letters, if the next one begins with it.
     """
-    spark = cores.sparkSession
-    ranged = cores.select("core").repartitionByRange("core").sortWithinPartitions("core")
+    ranged = cores.select("core", stem_of(F.col("core")).alias("stem")).where(F.length("stem") >= STEM).repartitionByRange("stem", "core").sortWithinPartitions("stem", "core")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, before, first = TaskContext.get().partitionId(), None, None
+        part, first, stack = TaskContext.get().partitionId(), None, []
         for f in frames:
-            texts = f["core"].tolist()
-            if first is None and texts:
-                first = texts[0]
-            chain = texts if before is None else [before, *texts]
-            found = [(a, "", part) for a, b in zip(chain, chain[1:]) if goes_on(a, b)]
+            found = []
+            for core, stem in zip(f["core"], f["stem"]):
+                first = stem if first is None else first
+                while stack and not stem.startswith(stack[-1][1]):
+                    stack.pop()
+                for waiting in stack:
+                    if waiting[0] is not None and goes_on(waiting[1], stem):
+                        found.append((waiting[0], "found", part, waiting[1]))
+                        waiting[0] = None
+                stack.append([core, stem])
             if found:
-                yield pd.DataFrame(found, columns=["core", "edge", "part"])
-            before = chain[-1] if chain else None
-        if first is not None:
-            yield pd.DataFrame([(first, "first", part), (before, "last", part)], columns=["core", "edge", "part"])
+                yield pd.DataFrame(found, columns=["core", "kind", "part", "stem"])
+        rest = [(core, "open", part, stem) for core, stem in stack if core is not None]
+        yield pd.DataFrame([*rest, (None, "first", part, first)], columns=["core", "kind", "part", "stem"])
 
-    rows = staged(ranged.mapInPandas(run, "core string, edge string, part int"))
-    edges = {(r["edge"], r["part"]): r["core"] for r in rows.where("edge != ''").collect()}  # two texts a partition
-    firsts = sorted(p for e, p in edges if e == "first")
-    over = [(edges["last", p],) for p, q in zip(firsts, firsts[1:]) if goes_on(edges["last", p], edges["first", q])]
-    found = rows.where("edge = ''").select("core")
-    return found.unionByName(spark.createDataFrame(over, "core string")) if over else found
+    rows = staged(ranged.mapInPandas(run, "core string, kind string, part int, stem string"))
+    # The next partition's first stem (null: it is empty, so the one behind it may go on).
+    firsts = rows.where("kind = 'first'").select((F.col("part") - 1).alias("part"), F.col("stem").alias("_next"), F.lit(True).alias("_known"))
+    over = rows.where("kind = 'open'").join(firsts, "part").where("_next IS NULL OR startswith(_next, stem)").select(F.col("core").alias("_core"), F.col("stem").alias("_stem"), F.left("stem", F.lit(STEM)).alias("_head"))
+    heads = ranged.select("stem", F.left("stem", F.lit(STEM)).alias("_head"))
+    behind = F.substring("stem", F.length("_stem") + 1, F.lit(1)).rlike(r"\p{L}") & F.col("_stem").rlike(r"\p{L}$")
+    crossing = over.join(heads, "_head").where(F.startswith("stem", "_stem") & behind).select(F.col("_core").alias("core"))
+    return rows.where("kind = 'found'").select("core").unionByName(crossing)
 
 
-def goes_on(a: str, b: str) -> bool:
-    """Whether ``b`` is ``a`` and more, and ``a`` (without an ellipsis) stops within a word of it."""
-    stem = a.rstrip("….").rstrip() if a.endswith(("…", "...")) else a
-    return len(stem) >= 8 and len(b) > len(stem) and b.startswith(stem) and stem[-1].isalpha() and b[len(stem)].isalpha()
+def goes_on(stem: str, other: str) -> bool:
+    """Whether a response that begins with ``stem`` goes on within a word of it."""
+    return len(stem) >= STEM and len(other) > len(stem) and other.startswith(stem) and stem[-1].isalpha() and other[len(stem)].isalpha()
 
 
 def asked_language(instruction: Column) -> Column:
@@ -136,7 +151,7 @@ def asked_language(instruction: Column) -> Column:
 
 def fit_model(rows: DataFrame, sample: int = SAMPLE) -> langid.Model:
     """A language model from at most ``sample`` different responses a target language, chosen by a hash of the text."""
-    texts = rows.where("target_lang IS NOT NULL AND length(core) >= 20").select(F.lower(F.trim("target_lang")).alias("label"), "core").distinct()
+    texts = rows.where(f"target_lang IS NOT NULL AND length(core) BETWEEN 20 AND {SAMPLE_CHARS}").select(F.lower(F.trim("target_lang")).alias("label"), "core").distinct()
     ranked = texts.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("core"), "core"))).where(F.col("_n") <= sample)
     found = [(r["label"][:2], r["core"]) for r in ranked.collect()]
     often = {x for x, n in pd.Series([x for x, _ in found]).value_counts().items() if n >= langid.LEAST} if found else set()
@@ -173,7 +188,7 @@ def judged(chunks: DataFrame, chapters: DataFrame, sections: DataFrame) -> DataF
     own = chunks.select("chunk_id", "origin", "origin_id", "paragraph_index", "task", "instruction", "target_lang", "output_text", "model_name").dropDuplicates(["chunk_id"])
     core = core_of(F.col("output_text"))
     rows = own.withColumn("core", core).select(
-        "chunk_id", "origin", "origin_id", "paragraph_index", "task", "instruction", "target_lang", "model_name", "core", F.length("output_text").alias("size"),
+        "chunk_id", "origin", "origin_id", "paragraph_index", "task", "instruction", "target_lang", "model_name", "core", F.length(stem_of(F.rtrim("output_text"))).alias("size"),
         is_empty(core).alias("empty"), is_refusal(core).alias("refusal"), core.rlike(CLOSED).alias("closed"), letters_of(core).alias("letters"), letters_of(F.col("instruction")).alias("asked"),
     )
     rows = staged(rows)
@@ -183,7 +198,8 @@ def judged(chunks: DataFrame, chapters: DataFrame, sections: DataFrame) -> DataF
 
     full = rows.where("NOT empty")
     short = shortened(full.select("core").distinct()).distinct().withColumn("short", F.lit(True))
-    sizes = full.where("NOT closed").groupBy("model_name", "size").agg(F.count("*").alias("n"))
+    # A limit cuts before anything is appended, so the length is that without an ellipsis.
+    sizes = full.where(~F.col("closed") | F.col("core").rlike(r"(?:…|\.\.\.)$")).groupBy("model_name", "size").agg(F.count("*").alias("n"))
     around = F.sum("n").over(Window.partitionBy("model_name").orderBy("size").rangeBetween(-AROUND, AROUND))
     spikes = sizes.withColumn("_mean", (around - F.col("n")) / (2 * AROUND)).where((F.col("n") >= LIMIT_LEAST) & (F.col("n") > LIMIT_TIMES * F.col("_mean") + LIMIT_MORE)).select("model_name", "size", F.lit(True).alias("limit"))
 
@@ -206,7 +222,11 @@ def judged(chunks: DataFrame, chapters: DataFrame, sections: DataFrame) -> DataF
     last = F.element_at(F.split("core", r"(?<=[.!?…”»\]])\s+|\n"), -1)
     ellipsis = F.col("core").rlike(r"(?:…|\.\.\.)[*_`\s]*$") & ~last.rlike(r"^[—–“«\"„‘-]") & last.rlike(r"\p{L}.*\s.*\p{L}")
     name = (F.col("task") == "question") & F.col("core").rlike(r"^(?:\p{Lu}[\p{L}-]*\s?){1,4}$")
-    truncated = F.when(name, F.coalesce("short", F.lit(False))).otherwise(~F.col("closed") | ellipsis | F.coalesce("short", F.lit(False)))
+    # A shorter version of another response, and a length that many unfinished ones of a model share, decide what the ending
+    # leaves open: an answer that is only a name, a spoken line with an ellipsis.
+    dots = F.col("core").rlike(r"(?:…|\.\.\.)[*_`\s]*$")
+    cut = F.coalesce("short", F.lit(False)) | (F.coalesce("limit", F.lit(False)) & (dots | ~F.col("closed")))
+    truncated = F.when(name, cut).otherwise(~F.col("closed") | ellipsis | cut)
     foreign = F.coalesce(F.try_element_at("leads", expected) > langid.MARGIN, F.lit(False))
     defect = (
         F.when(F.col("empty"), "empty").when(F.col("refusal"), "refusal").when(F.coalesce(copied, F.lit(False)), "copy")
