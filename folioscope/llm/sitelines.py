@@ -13,6 +13,7 @@ if their letters are; repeated rows of a document count once; a site is the last
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,16 +52,32 @@ def segments(key: str) -> list[str]:
     return [key[i : i + WIDTH] for i in range(0, len(key), WIDTH)]
 
 
-def grow(templates: list[list[str]], parts: list[str]) -> int:
-    """Put a line into the leaf: the number of the template that took it, which may get new wildcards."""
-    for i, t in enumerate(templates):
-        if len(t) == len(parts):
-            same = sum(a == b for a, b in zip(t, parts))
-            if same >= ALIKE * len(parts):
-                templates[i] = [a if a == b else "*" for a, b in zip(t, parts)]
+class Leaf:
+    """The templates of one leaf. Segments beyond the way down are indexed by place, so a line is held only against the
+    templates that share one with it, not against all of the leaf."""
+
+    def __init__(self) -> None:
+        self.templates: list[list[str]] = []
+        self.at: dict[tuple[int, str], list[int]] = {}
+
+    def grow(self, parts: list[str]) -> int:
+        """Put a line into the leaf: the number of the first template that took it, which may get new wildcards."""
+        n = len(parts)
+        shared = Counter(i for k in range(DEPTH, n) for i in self.at.get((k, parts[k]), ()) if self.templates[i][k] == parts[k])
+        # The way down is equal within a leaf; where it alone is alike enough, every template is a candidate.
+        near = range(len(self.templates)) if DEPTH >= ALIKE * n else sorted(shared)
+        for i in near:
+            t = self.templates[i]
+            if len(t) == n and sum(a == b for a, b in zip(t[:DEPTH], parts)) + shared[i] >= ALIKE * n:
+                self.templates[i] = [a if a == b else "*" for a, b in zip(t, parts)]
+                for k in range(DEPTH, n):
+                    if t[k] != parts[k] and t[k] != "*":
+                        self.at.setdefault((k, "*"), []).append(i)
                 return i
-    templates.append(parts)
-    return len(templates) - 1
+        self.templates.append(parts)
+        for k in range(DEPTH, n):
+            self.at.setdefault((k, parts[k]), []).append(len(self.templates) - 1)
+        return len(self.templates) - 1
 
 
 def repeated_lines(df: DataFrame, id_col: str = "chapter_id", url_col: str = "url", array_col: str = "paragraphs", min_docs: int = MIN_DOCS, min_share: int = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
@@ -81,21 +98,25 @@ def repeated_lines(df: DataFrame, id_col: str = "chapter_id", url_col: str = "ur
     near = staged(lines.join(wide, ["site", "_leaf"]).distinct())
 
     keys = near.select("site", "_leaf", "_least", "_key", "_id").distinct().groupBy("site", "_leaf", "_least", "_key").agg(F.count("*").alias("n_docs"))
-    keys = keys.repartition("site", "_leaf", F.pmod(F.xxhash64("_key"), F.lit(PARTS)))
+    keys = keys.repartition("site", "_leaf", F.pmod(F.xxhash64("_key"), F.lit(PARTS))).sortWithinPartitions("site", "_leaf", "_key")
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees: dict[tuple, list[list[str]]] = {}
+        at, tree = None, Leaf()  # rows come leaf by leaf, so one leaf is held at a time
         for f in frames:
-            taken = [(s, leaf, grow(trees.setdefault((s, leaf), []), segments(k))) for s, leaf, k in zip(f["site"], f["_leaf"], f["_key"])]
-            yield f.assign(_local=["|".join(trees[s, leaf][i]) for s, leaf, i in taken])
+            made = []
+            for s, leaf, k in zip(f["site"], f["_leaf"], f["_key"]):
+                if (s, leaf) != at:
+                    at, tree = (s, leaf), Leaf()
+                made.append((tree, tree.grow(segments(k))))
+            yield f.assign(_local=["|".join(t.templates[i]) for t, i in made])
 
     grown = staged(keys.mapInPandas(local, "site string, _leaf bigint, _least bigint, _key string, n_docs bigint, _local string"))
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["n", "_local"], ascending=[False, True], kind="stable")
-        templates: list[list[str]] = []
-        taken = [grow(templates, t.split("|")) for t in f["_local"]]
-        return f.assign(template=["|".join(templates[i]) for i in taken])[["site", "_leaf", "_local", "template"]]
+        tree = Leaf()
+        taken = [tree.grow(t.split("|")) for t in f["_local"]]
+        return f.assign(template=["|".join(tree.templates[i]) for i in taken])[["site", "_leaf", "_local", "template"]]
 
     parts = grown.groupBy("site", "_leaf", "_local").agg(F.sum("n_docs").alias("n"))
     trees = parts.groupBy("site", "_leaf").agg(F.count("*").alias("_trees"), F.min("_local").alias("_only"))
