@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 BITS = 16
 ORDERS = (2, 3, 4)
 SMOOTHING = 0.2
-#: Bound of the training sample: rows of each language, and the languages' least number of rows.
-SAMPLE, LEAST = 1_200, 20
+#: Bound of the training sample: rows of each language, characters of a row (longer texts are judged, not learnt from), and
+#: the languages' least number of rows. Up to 1,000 rows the engine ranks within partitions first, so no language is sorted whole.
+SAMPLE, SAMPLE_CHARS, LEAST = 1_000, 20_000, 20
 #: A line is in another language if its log likelihood, divided by the number of orders (n-grams of several orders
 #: tell the same thing several times), exceeds that of the main language by this much.
 MARGIN = 12.0
@@ -213,7 +214,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     agreed = labels.where("declared = detected").select(F.col("doc_id").alias("_id"), F.col("declared").alias("_label"))
     ranked = agreed.withColumn("_n", F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")))
     chosen = ranked.where(F.col("_n") <= sample).select("_id", "_label")
-    rows = documents.where(F.length(text_col) > 0).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(text_col, "_label").collect()
+    rows = documents.where(F.length(text_col).between(1, SAMPLE_CHARS)).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(text_col, "_label").collect()
     often = {x for x, n in pd.Series([r[1] for r in rows]).value_counts().items() if n >= LEAST} if rows else set()
     rows = sorted((r[0], r[1]) for r in rows if r[1] in often) or [("", "en")]
     return Model.fit([t for t, _ in rows], [x for _, x in rows])

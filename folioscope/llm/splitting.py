@@ -27,16 +27,24 @@ OVERLAP = 200
 
 #: A token is a run of non-blanks with the blanks behind it, or leading blanks.
 _TOKEN = re.compile(r"\S+\s*|\s+")
-#: What ends a sentence or a line at the end of a token.
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]}*_]*\s+$|[。！？][」』”]*\s*$|\n\s*$")
+#: What closes a sentence, and what may stand behind it.
+_STOPS, _CLOSERS = ".!?…", "\"'”’»)]}*_"
 _CJK_END = re.compile(r"[。！？]+[」』”]*")
 
 
+def _ends_sentence(token: str) -> bool:
+    """Whether a sentence or a line ends with a token, however many blanks and closing marks stand behind it."""
+    word = token.rstrip()
+    if len(word) == len(token):
+        return False
+    return "\n" in token[len(word) :] or word.rstrip(_CLOSERS)[-1:] in tuple(_STOPS)
+
+
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted positions after which a sentence (or line) and a word end."""
     tokens = _TOKEN.findall(text)
     words = np.cumsum(np.fromiter((len(t) for t in tokens), np.int64, len(tokens)))
-    ends = np.fromiter((_SENTENCE.search(t[-12:]) is not None for t in tokens), bool, len(tokens))
+    ends = np.fromiter(map(_ends_sentence, tokens), bool, len(tokens))
     sentences = words[ends]
     inner = [m.end() for m in _CJK_END.finditer(text)]
     if inner:

@@ -71,6 +71,13 @@ def test_cuts_at_sentences_then_words_then_hard():
     assert splitting.cut_points("x" * 30, 12, 2)[0] == (0, 12)
 
 
+def test_sentence_ends_before_many_blanks():
+    """However many blanks and closing marks stand behind a full stop, it is a boundary."""
+    head = "word " * 300 + "end.”)" + " " * 400
+    cut = splitting.cut_points(head + "more words " * 300, 3000, 0)[0][1]
+    assert cut == len(head)
+
+
 def test_split_edge_cases(spark):
     df = spark.createDataFrame([(1, [None, "", "short", LONG]), (1, [None, "", "short", LONG]), (2, None), (3, [])], "chapter_id bigint, paragraphs array<string>").withColumn("_text", F.lit(1))
     pieces = splitting.split_oversized(df).orderBy("piece_no").collect()
@@ -122,6 +129,27 @@ def test_repeated_lines(spark):
     assert sitelines.repeated_lines(df.limit(0))[0].count() == 0
 
 
+def test_leaf_is_the_same_with_its_index():
+    """The index of a leaf finds the template that a scan of all of them finds first."""
+    import random
+
+    r = random.Random(5)
+    lines = ["aaaaabbbbb" + "".join(r.choice(["ccccc", "ddddd", "eeeee"]) for _ in range(r.randint(0, 5))) for _ in range(400)]
+    tree, plain = sitelines.Leaf(), []
+
+    def scan(parts):
+        for i, t in enumerate(plain):
+            if len(t) == len(parts) and sum(a == b for a, b in zip(t, parts)) >= sitelines.ALIKE * len(parts):
+                plain[i] = [a if a == b else "*" for a, b in zip(t, parts)]
+                return i
+        plain.append(parts)
+        return len(plain) - 1
+
+    for x in lines:
+        assert tree.grow(sitelines.segments(x)) == scan(sitelines.segments(x))
+    assert tree.templates == plain
+
+
 def test_sites(spark):
     got = spark.createDataFrame([("https://www.A.example:80/x",), ("b.example:8080/q",), ("ftp://u:p@c.d.example?x",), (None,), ("",), ("localhost",)], "u string").select(sitelines.site_of(F.col("u"))).collect()
     assert [r[0] for r in got] == ["a.example", "b.example", "d.example", None, None, "localhost"]
@@ -151,6 +179,26 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0))[0].count() == 0
 
 
+def test_ends_of_any_length(spark):
+    """Blanks behind the end, a long mark, a long last line: nothing is cut off before it is read."""
+    data = [(1, "The gate fell." + " \n" * 2000), (2, "The gate fe" + " " * 2000), (3, "The gate fell in the ri<span class='" + "x" * 900), (4, "the " * 900 + "end."), (5, "the " * 900 + "en")]
+    data += [(10 + i, f"A story of gate {i}.") for i in range(40)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in truncation.truncated(df)[0].where("cut").collect()} == {2, 3, 5}
+
+
+def test_limits_decide_for_spoken_ends(spark):
+    """A spoken line that ends like others do is whole, but not where its source cuts."""
+    talk = "— A água está subindo…"
+    pad = lambda n, end: ("The old man walked to the river. " * 40)[: n - len(end) - 1] + "\n" + end
+    data = [(i, "s", f"{i:03d} " + ("nobody knew who had opened the door of the house " * 9)[:396]) for i in range(12)]
+    data += [(100 + i, "s", f"{i} The gate fell.\n{talk}" + " So it was." * (i % 7)) for i in range(30)]
+    data += [(200, "s", pad(401, talk)), (201, "t", pad(401, talk)), (202, "s", pad(300, talk))]
+    df = spark.createDataFrame(data, "doc_id bigint, source string, text string")
+    judged, limits = truncation.truncated(df)
+    assert {r.doc_id for r in judged.where("cut AND doc_id >= 100").collect()} == {200}
+
+
 def test_limits(spark):
     data = [(i, "x" * 99 + "y", "s") for i in range(8)] + [(100 + i, "z" * (50 + i) + ".", "s") for i in range(40)]
     df = spark.createDataFrame([(i, t[: 100 - len(str(i))] + str(i) if len(t) == 100 else t, s) for i, t, s in data], "doc_id bigint, text string, source string")
@@ -226,9 +274,25 @@ def test_responses(spark):
 def test_shortened_neighbours_across_partitions(spark):
     texts = [f"The captain counted the barrels of ship {i:03d} before the storm" for i in range(200)]
     cores = texts + [t[:40] for t in texts[:1]] + ["The captain counted the barr"]
+    # An ellipsis sorts behind all letters; a neighbour that goes on with a blank hides none behind it.
+    cores += ["The captain counted the bar…", "The captain counted the barrels of ship 1...", "The captain count", "The captain count Borel arrived"]
     got = rows(responses.shortened(spark.createDataFrame([(t,) for t in sorted(set(cores))], "core string")).distinct())
-    want = {c for c in cores if any(responses.goes_on(c, d) for d in cores if d != c)}
-    assert {g[0] for g in got} == want
+    stem = lambda c: c.rstrip("…. ") if c.endswith(("…", "...")) else c
+    want = {c for c in cores if any(responses.goes_on(stem(c), stem(d)) for d in cores if d != c)}
+    assert {g[0] for g in got} == want and {"The captain counted the bar…", "The captain count"} <= want
+
+
+def test_limits_decide_for_names_and_spoken_ellipses(spark):
+    """A name as an answer, or a spoken line with an ellipsis, is cut where many unfinished responses of its model have its length."""
+    para = ["The old man walked to the river with his dog, and nobody knew why."]
+    chapters = spark.createDataFrame([(1, para)], "chapter_id bigint, paragraphs array<string>")
+    text = lambda i, n: f"In year {i:04d} the captain of the guard counted all the barrels of the ship again and again"[:n]
+    data = [(i, "m", text(i, 40)) for i in range(30)] + [(100 + i, "m", text(i, 50 + i % 20) + ".") for i in range(40)]
+    spoken = "— In the dark hall they waited for the king"
+    data += [(200, "m", spoken[:40] + "…"), (201, "other", spoken[:40] + "…"), (202, "m", "— The king was waiting for the gr" + "…"), (203, "m", "Mara Orlanth Vel")]
+    chunks = spark.createDataFrame(data, "chunk_id bigint, model_name string, output_text string").selectExpr("*", "'chapter' AS origin", "1L AS origin_id", "0 AS paragraph_index", "'question' AS task", "'Who was it in the hall?' AS instruction", "CAST(NULL AS string) AS target_lang")
+    got = dict(rows(responses.defects(chunks, chapters, chapters.withColumnRenamed("chapter_id", "section_id"))))
+    assert got == {i: "truncated" for i in [*range(30), 200]}
 
 
 # 2 -----------------------------------------------------------------------------------------------------------------------
