@@ -47,7 +47,7 @@ SURNAMES = """kim lee yi park pak choi choe jung jeong kang gang jo cho yoon yun
 hong jeon ko go moon mun son yang bae baek heo nam sim noh no ha joo ju gu koo woo min jin cha chae won bang byun gong seok sun seol ma gil
 yeon wi pyo myung ki ban wang geum ok yuk in maeng je mo tak guk eo eun pyeon do bong bing paeng gal mok noe dan ho""".split()
 
-INITIALS = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
+INITIALS = ["g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h"]
 VOWELS = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split()
 FINALS = " k k k n n n t l k m l l l p l m p p t t ng t t k t p t".split(" ")
 #: Characters typed for letters that look like them.
@@ -103,7 +103,7 @@ def parts_of(name: str) -> tuple[list[str], bool]:
         t, sure = f"{m[2]} {m[1]}", True
     elif m := re.fullmatch(r"([^,]+),\s*([^,]+)", t):
         t, sure = f"{m[2]} {m[1]}", True
-    elif m := re.fullmatch(r"(.+?) o[a-z] (?:[a-z]{0,2}e[a-z]? )?(.+)", t):
+    elif m := re.fullmatch(r"(.+?) of (?:the )?(.+)", t):
         t, sure = f"{m[2]} {m[1]}", True
     words = re.findall(r"[^\s,]+", t)
     while len(words) > 1 and words[0].strip(".") in TITLES | {"the"}:

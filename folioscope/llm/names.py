@@ -1,10 +1,10 @@
 """Problem 2: variant spellings of names typed by people.
 
-Method. Every name of a record is turned into forms (``nameforms``). Two records of a book that share a whole form are
-linked. Names that are no known spelling are looked up by a pigeonhole segment join: the known names are cut into k+1
-segments, kept in an inverted index with their length and number; a name within k edits must contain one of the
-segments unchanged and shifted by at most k, so its position-shifted substrings find all candidates by equality, which a
-banded edit distance verifies. A name is linked to the nearest known name if that is one entity. Records that hold no
+Method. Every name of a record is turned into forms (``nameforms``). Whole forms, of any length, are looked up by one
+pigeonhole segment join: the names of a book are cut into k+1 segments, kept in an inverted index with their length and
+number; a name within k edits must contain one of the segments unchanged and shifted by at most k, so its position-shifted
+substrings find all candidates by equality, which a banded edit distance verifies. Two records whose forms are no edit
+apart are linked; a name that is no known spelling is linked to the nearest known name if that is one entity. Records that hold no
 whole name (initials, a part, an acronym) are linked if exactly one entity of the book fits.
 
 A part of a name is known if it occurs in enough records of the whole table; two names of known parts are not taken for
@@ -55,12 +55,13 @@ def name_forms(entities: DataFrame) -> DataFrame:
 def near_keys(sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Pairs ``book_id, space, source, target, edits`` of keys within the source's ``k`` edits (pigeonhole segment join).
 
-    ``sources``: book_id, space, source, k (1 or 2); ``targets``: book_id, space, target.
+    ``sources``: book_id, space, source, k (0, 1 or 2); ``targets``: book_id, space, target. With k = 0 the key is its own
+    only segment; a key that is a target finds itself, 0 edits away.
     """
     length, parts = F.col("_length"), F.col("k") + 1
     start, end = (F.floor((F.col("_part") + x) * length / parts).cast("int") for x in (0, 1))
     index = (
-        targets.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("_length", F.length("target")).where(length > F.col("k"))
+        targets.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("_length", F.length("target")).where(length > F.col("k"))
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("k"))))
         .select("book_id", "space", "k", "_length", "_part", F.col("target").substr(start + 1, end - start).alias("_segment"), "target")
     )
@@ -74,7 +75,7 @@ def near_keys(sources: DataFrame, targets: DataFrame) -> DataFrame:
         .distinct()
     )
     pairs = probe.join(index, ["book_id", "space", "k", "_length", "_part", "_segment"]).select("book_id", "space", "source", "target", "k").distinct()
-    return pairs.where("source != target").withColumn("edits", F.expr("levenshtein(source, target, k)")).where("edits BETWEEN 0 AND k").drop("k")
+    return pairs.withColumn("edits", F.expr("levenshtein(source, target, k)")).where("edits BETWEEN 0 AND k").drop("k")
 
 
 def lone_forms(known: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def link_entities(entities: DataFrame, known: int = KNOWN) -> DataFrame:
     """``book_id, entity_id, label``: records of one entity have one label; records without link are left out."""
     rows = staged(name_forms(entities))
     whole = rows.where("kind IN ('full', 'sound')").withColumnRenamed("kind", "space")
-    joined = rows.where("(kind = 'joined' AND length(key) >= 8) OR (kind = 'soundjoined' AND length(key) >= 7)")
+    joined = rows.where("kind IN ('joined', 'soundjoined')")
     joined = joined.withColumn("space", F.when(F.col("kind") == "joined", "full").otherwise("sound"))
 
     part = whole.select("space", "node", F.explode(F.array("a", "b")).alias("part")).distinct().groupBy("space", "part").agg(F.count("*").alias("n"))
@@ -122,12 +123,15 @@ def link_entities(entities: DataFrame, known: int = KNOWN) -> DataFrame:
     keys = staged(keys.withColumn("often", F.col("way.least") >= known))
 
     held = whole.select("node", "book_id", "space", "key").unionByName(joined.select("node", "book_id", "space", "key")).distinct()
-    exact = held.join(keys, ["book_id", "space", "key"]).select(F.col("node").alias("a"), F.col("holder").alias("b"))
-    allowed = F.when(F.length("source") < 6, 0).when(F.length("source") < 8, 1).otherwise(2)
-    near = near_keys(
-        held.select("book_id", "space", F.col("key").alias("source")).distinct().select("book_id", "space", "source", allowed.alias("k")).where("k > 0"),
+    # Edits by length, as a share of the name: one from 4 letters on, two from 8.
+    allowed = F.when(F.length("source") < 4, 0).when(F.length("source") < 8, 1).otherwise(2)
+    found = staged(near_keys(
+        held.select("book_id", "space", F.col("key").alias("source")).distinct().select("book_id", "space", "source", allowed.alias("k")),
         keys.select("book_id", "space", F.col("key").alias("target")),
-    )
+    ))
+    same = found.where("edits = 0").select("book_id", "space", F.col("source").alias("key"))
+    exact = held.join(same, ["book_id", "space", "key"]).join(keys, ["book_id", "space", "key"]).select(F.col("node").alias("a"), F.col("holder").alias("b"))
+    near = found.where("edits > 0")
     own = keys.select("book_id", "space", F.col("key").alias("source"), F.col("way").alias("own"), F.col("often").alias("own_often"))
     near = near.join(keys.select("book_id", "space", F.col("key").alias("target"), "way"), ["book_id", "space", "target"]).join(own, ["book_id", "space", "source"], "left")
     commoner = [(F.col(f"way.{c}") == F.col(f"own.{c}")) | (F.col(f"way.{c}_n") >= COMMONER * F.col(f"own.{c}_n")) for c in ("a", "b")]
