@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import compact, fold, heading_key, title_case
+from folioscope.functions.text import compact, fold, title_case, without_markup
 
 # What counts as a heading, and where a section's number stands in title and path.
 PREFIX = r"(?iu)^(cap[ií]tulo|chapter|chapitre|cap\.)\s+(\d{1,4})(?:\s*[.:—–-]\s*|\s+)(.+)$"
@@ -126,32 +126,63 @@ def file_range(name: Column) -> Column:
     return F.struct(F.regexp_extract(name, p, 1).try_cast("int").alias("first"), F.regexp_extract(name, p, 2).try_cast("int").alias("last"))
 
 
+# What marks a title as generic, a file's name or told text; longest title and number of words of a sentence.
+GENERIC_TITLES = r"^(?:bsj|converted ebook|untitled|sem título|sin título|começar|start)$"
+FILE_TITLES = r"^(?:index_split_|split_|chapter_|chap_|page_|text/|xhtml/)|\.(?:xhtml|html)$"
+TOLD = r"(?i)\b(?:murmur[oó]|dijo|pregunt[oó]|respond[ií]o|susurr[oó]|mir[oó])\b"
+TITLE_CHARS, SENTENCE_WORDS, FRAGMENT_WORDS, BODY_WORDS = 90, 5, 8, 100
+
+
+def _title(c: Column) -> Column:
+    return without_markup(c)
+
+
+def _words(t: Column, blank: str = " ") -> Column:
+    return F.size(F.split(t, blank))
+
+
 def is_generic_title(c: Column) -> Column:
-    return heading_key(c).rlike(r"^(?:|untitled|sem titulo|section|secao|text|texto|part|chapter|capitulo|cover|capa)(?: \d+)?$")
+    """Empty, ornaments only, a placeholder, or a bare chapter number."""
+    t = F.lower(_title(c))
+    return (t == "") | t.rlike(r"^\*{1,5}$") | t.rlike("^[-–—_•·]+$") | t.rlike(GENERIC_TITLES) | t.rlike(r"^cap[ií]tulo\s*\d*$")
 
 
 def is_file_title(c: Column) -> Column:
-    return compact(c).rlike(r"(?i)\.(?:x?html?|xml|docx|epub|pdf|txt)$")
+    return F.lower(_title(c)).rlike(FILE_TITLES)
 
 
 def is_chapter_title(c: Column) -> Column:
-    return parse_heading(c)["matched"] | compact(c).rlike(r"(?iu)^(?:cap[ií]tulo|chapter|chapitre)\s+\S+")
-
-
-def title_quality(c: Column) -> Column:
-    """``struct<quality, reason>``: valid, suspicious or invalid."""
-    t = compact(c)
-    reason = (
-        F.when(t == "", "empty").when(is_file_title(c), "file-name").when(is_generic_title(c), "generic").when(F.length(t) > 160, "too-long")
-        .when(t.rlike(r"^\d+$"), "number-only").when(F.length(t) < 3, "too-short")
-    )
-    quality = F.when(reason.isin("empty", "file-name"), "invalid").when(reason.isNotNull(), "suspicious").otherwise("valid")
-    return F.struct(quality.alias("quality"), reason.alias("reason"))
+    """Short enough, no sentence, nothing that somebody says."""
+    t = _title(c)
+    sentence = t.rlike("[.!?…]") & (_words(t) > SENTENCE_WORDS)
+    return (t != "") & ~is_generic_title(c) & ~is_file_title(c) & (F.length(t) <= TITLE_CHARS) & ~sentence & ~t.rlike(TOLD)
+
+
+def title_quality(c: Column, score: Column | int = 0, words: Column | int = 0) -> Column:
+    """``struct<quality, reason>``: valid, suspicious (an unnumbered title over a full text) or invalid; the first rule that fits.
+
+    ``score`` is that of the heading parser, ``words`` the number of words of the document under the title.
+    """
+    t = _title(c)
+    quoted = t.rlike("^[“\"'‘]")
+    fragment = quoted | (t.rlike(r"[.!?]$") & (_words(t) >= 3)) | (_words(t) > FRAGMENT_WORDS)
+    score, words = (x if isinstance(x, Column) else F.lit(x) for x in (score, words))
+    rules = [
+        (t == "", "invalid", "EMPTY_TITLE"), (is_generic_title(c), "invalid", "GENERIC_TITLE"), (is_file_title(c), "invalid", "FILENAME_TITLE"),
+        (t.rlike(r"(?i)^bsj$|^\*+$"), "invalid", "MARKER_NOT_TITLE"), (t.rlike("(?i)converted ebook"), "invalid", "GENERIC_TITLE"), (fragment, "invalid", "TEXT_FRAGMENT_TITLE"),
+        (is_chapter_title(c), "valid", "CHAPTER_PATTERN"), (F.coalesce((score >= 30) & (words > BODY_WORDS), F.lit(False)), "suspicious", "UNNUMBERED_POSSIBLE_TITLE"),
+    ]
+    out = F.struct(F.lit("invalid").alias("quality"), F.lit("UNKNOWN_PATTERN").alias("reason"))
+    for condition, quality, reason in reversed(rules):
+        out = F.when(condition, F.struct(F.lit(quality).alias("quality"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out
 
 
 def title_score(c: Column) -> Column:
-    quality = title_quality(c)["quality"]
-    return F.when(quality == "valid", 100).when(quality == "suspicious", 20).otherwise(0)
+    """100 for a chapter title, 20 for another short one, 0 for what is none."""
+    t = _title(c)
+    none = is_generic_title(c) | is_file_title(c) | t.rlike(r"(?i)^bsj$|^\*+$|converted ebook")
+    return F.when(none, 0).when(is_chapter_title(c), 100).when((F.length(t) <= 60) & (_words(t) <= 6) & ~t.rlike("[.!?…]$"), 20).otherwise(0)
 
 
 def best_title(*candidates: Column) -> Column:

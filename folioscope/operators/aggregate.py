@@ -22,7 +22,11 @@ def vocabulary(df: DataFrame, text: str, stopwords: list[str], least_length: int
 def named_entities(df: DataFrame, key: list[str], text: str, order: str, least: int = 2, examples: int = 8) -> DataFrame:
     """Names that occur in enough rows, with their first rows as examples."""
     names = df.select(*key, order, F.explode(proper_names(F.col(text))).alias("name"))
-    return names.groupBy(*key, "name").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(order)), 1, examples).alias("examples")).where(F.col("n") >= least)
+    counted = names.groupBy(*key, "name", order).agg(F.count("*").alias("_n"))  # a row's repeats are one example
+    w = Window.partitionBy(*key, "name").orderBy(order)
+    ranked = counted.withColumn("_r", F.row_number().over(w))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.col(order))))
+    return ranked.groupBy(*key, "name").agg(F.sum("_n").alias("n"), shown.alias("examples")).where(F.col("n") >= least)
 
 
 def repetition(df: DataFrame, key: list[str], text: str, least: int = 20, warn: float = 0.05, fail: float = 0.15) -> DataFrame:
@@ -65,7 +69,8 @@ def by_category(findings: DataFrame, categories: DataFrame, default: str, column
     """Findings by fixed categories, empty ones included; unknown ones fall to ``default``."""
     known = findings.join(categories.select(F.col(column), F.lit(True).alias("_k")), column, "left")
     known = known.withColumn(column, F.when(F.col("_k"), F.col(column)).otherwise(default))
-    n = known.groupBy(column).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("detail")), 1, examples).alias("examples"))
+    each = known.groupBy(column, "detail").agg(F.count("*").alias("_n"))
+    n = _first_of(each, [column], "detail", examples).groupBy(column).agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list("_shown")).alias("examples"))
     return categories.join(n, column, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -75,7 +80,14 @@ def merge_changes(changes: DataFrame, key: list[str]) -> DataFrame:
 
 def alias_roll_up(changes: DataFrame, most: int = 5) -> DataFrame:
     """Changes by canonical name and alias with a few examples."""
-    return changes.groupBy("canonical", "alias").agg(F.sum("count").alias("count"), F.slice(F.array_sort(F.collect_set("example")), 1, most).alias("examples"))
+    each = changes.groupBy("canonical", "alias", "example").agg(F.sum("count").alias("count"))
+    return _first_of(each, ["canonical", "alias"], "example", most).groupBy("canonical", "alias").agg(F.sum("count").alias("count"), F.array_sort(F.collect_list("_shown")).alias("examples"))
+
+
+def _first_of(df: DataFrame, key: list[str], value: str, most: int) -> DataFrame:
+    """Rows with ``_shown``: the value of the first ``most`` rows of each key, null for the others, so lists stay short."""
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last(value)))
+    return df.withColumn("_shown", F.when(n <= most, F.col(value)))
 
 
 def roll_up(df: DataFrame, key: str, *sums: str) -> DataFrame:

@@ -102,12 +102,14 @@ def assign_greedily(pairs: DataFrame, key: str, left: str, right: str, score: st
     return pairs.select(key, left, right, score).groupBy(key).applyInPandas(one, f"`{key}` {kinds[key]}, `{left}` {kinds[left]}, `{right}` {kinds[right]}, `{score}` double")
 
 
-def pair_files(source: DataFrame, target: DataFrame, name: str, first: str, last: str) -> DataFrame:
-    """Files with the same chapter range, the others by position."""
-    s = source.select(F.col(name).alias("source"), F.col(first).alias("_f"), F.col(last).alias("_l")).withColumn("_n", F.row_number().over(Window.orderBy("_f", "source")))
-    t = target.select(F.col(name).alias("target"), F.col(first).alias("_f"), F.col(last).alias("_l")).withColumn("_n", F.row_number().over(Window.orderBy("_f", "target")))
-    ranged = s.join(t.select("target", "_f", "_l"), ["_f", "_l"]).select("source", "target", F.lit("range").alias("by"))
-    rest = s.join(ranged, "source", "left_anti").select("source", "_n").join(t.join(ranged, "target", "left_anti").select("target", "_n"), "_n").select("source", "target", F.lit("position").alias("by"))
+def pair_files(source: DataFrame, target: DataFrame, key: list[str], name: str, first: str, last: str) -> DataFrame:
+    """Files of a group with the same chapter range, the others by position; of several with one range the first by name."""
+    side = lambda d, x: d.select(*key, F.col(name).alias(x), F.col(first).alias("_f"), F.col(last).alias("_l"))
+    nth = lambda x, *w: F.row_number().over(Window.partitionBy(*key, *w).orderBy(F.asc_nulls_last("_f"), x))
+    s, t = side(source, "source"), side(target, "target")
+    ranged = s.withColumn("_r", nth("source", "_f", "_l")).join(t.withColumn("_r", nth("target", "_f", "_l")), [*key, "_f", "_l", "_r"]).select(*key, "source", "target", F.lit("range").alias("by"))
+    left = lambda d, x: d.join(ranged, [*key, x], "left_anti").withColumn("_n", nth(x)).select(*key, x, "_n")
+    rest = left(s, "source").join(left(t, "target"), [*key, "_n"]).select(*key, "source", "target", F.lit("position").alias("by"))
     return ranged.unionByName(rest)
 
 

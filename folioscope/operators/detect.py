@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.similarity import dice, edit_similarity, length_ratio, repeated_run, said_twice
-from folioscope.functions.text import comparable, compact, fold, letter_set, long_tokens, numbers, proper_names, punctuation_profile, telling_numbers, text_or_empty, tokens
+from folioscope.functions.text import clean_word, comparable, compact, fold, letter_set, long_tokens, numbers, proper_names, punctuation_profile, telling_numbers, text_or_empty, tokens
 from folioscope.operators.findings import finding, longest_phrases, missing_items, union_all
 from folioscope.operators.match import glossary_hits
 
@@ -169,7 +169,7 @@ def name_variants(names: DataFrame, block: list[str], name: str, count: str, ali
     name (length L) cut into k+1 segments, k = (1 - alike) * L, one is in the shorter name, shifted by at most k. The
     greedy choice runs over the few candidates.
     """
-    rows = names.select(*block, F.col(name).alias("name"), F.col(count).alias("n"), F.lower(name).alias("_low")).where("name IS NOT NULL")
+    rows = names.select(*block, F.col(name).alias("name"), F.col(count).alias("n"), F.regexp_replace(comparable(F.col(name)), " ", "").alias("_low")).where("name IS NOT NULL AND _low != ''")
     kinds = ", ".join(f"`{c}` {names.schema[c].dataType.simpleString()}" for c in block)
     size, length = F.length("_low"), F.col("_length")
     k = F.floor((1 - alike) * length + 1e-9).cast("int")
@@ -181,9 +181,9 @@ def name_variants(names: DataFrame, block: list[str], name: str, count: str, ali
     probe = probe.select(*block, "_length", "_part", F.substring(F.col("_low"), at + 1, end - start).alias("_segment"), F.col("name").alias("_short")).distinct()
     found = probe.join(index, [*block, "_length", "_part", "_segment"]).where("_long != _short").select(*block, F.explode(F.array(F.struct(F.col("_long").alias("x"), F.col("_short").alias("y")), F.struct(F.col("_short").alias("x"), F.col("_long").alias("y")))).alias("_p"))
     found = found.select(*block, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y")).distinct()
-    a, b = (rows.select(*block, F.col("name").alias(k_), F.struct("name", "n").alias(s_)) for k_, s_ in (("_x", "a"), ("_y", "b")))
-    near = found.join(a, [*block, "_x"]).join(b, [*block, "_y"]).where("a.n > b.n OR (a.n = b.n AND a.name < b.name)").where(F.abs(F.length("a.name") - F.length("b.name")) <= gap)
-    near = near.where(edit_similarity(F.lower("a.name"), F.lower("b.name")) >= alike).where(F.col("a.n") + F.col("b.n") >= total)
+    a, b = (rows.select(*block, F.col("name").alias(k_), F.struct("name", "n", F.col("_low").alias("low")).alias(s_)) for k_, s_ in (("_x", "a"), ("_y", "b")))
+    near = found.join(a, [*block, "_x"]).join(b, [*block, "_y"]).where("a.n > b.n OR (a.n = b.n AND a.name < b.name)").where(F.abs(F.length("a.low") - F.length("b.low")) <= gap)
+    near = near.where(edit_similarity(F.col("a.low"), F.col("b.low")) >= alike)
     near = near.select(*block, F.col("a.name").alias("lead"), F.col("a.n").alias("lead_n"), F.col("b.name").alias("variant"), F.col("b.n").alias("variant_n"))
 
     def choose(f: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +194,55 @@ def name_variants(names: DataFrame, block: list[str], name: str, count: str, ali
                 out.append(r)
         return pd.DataFrame(out, columns=f.columns)
 
-    return near.groupBy(*block).applyInPandas(choose, f"{kinds}, lead string, lead_n bigint, variant string, variant_n bigint")
+    chosen = near.groupBy(*block).applyInPandas(choose, f"{kinds}, lead string, lead_n bigint, variant string, variant_n bigint")
+    group = F.col("lead_n") + F.sum("variant_n").over(Window.partitionBy(*block, "lead"))
+    return chosen.withColumn("_group", group).where(F.col("_group") >= total).drop("_group")
+
+
+def residual_vocabulary(source: DataFrame, target: DataFrame, key: list[str], unit: str, text: str, markers: list[str], common: list[str], rare: int = 25, known: int = 12, least: int = 4) -> DataFrame:
+    """Words of the source text that were left in the translated text of the same document.
+
+    A word counts if it is a marker of the source language, or if it is rare in the source (at most ``rare``), not usual in
+    the translation (at most ``known``), no common word of the target language and no name.
+    """
+    words = lambda d, *c: d.select(*key, *c, F.explode(tokens(F.col(text))).alias("_w")).withColumn("token", clean_word(F.col("_w"))).where(F.length("token") >= least)
+    s = words(source).groupBy(*key, "token").agg(F.count("*").alias("_s"), F.bool_or(F.col("_w").rlike(r"^\p{Lu}")).alias("_name"))
+    t = words(target, unit)
+    usual = t.groupBy(*key, "token").agg(F.count("*").alias("_t"))
+    marker = F.col("token").isin(markers)
+    kept = s.join(usual, [*key, "token"]).where(~F.col("token").isin(common)).where(marker | (~F.col("_name") & (F.col("_s") <= rare) & (F.col("_t") <= known)))
+    hits = t.join(kept.select(*key, "token", marker.alias("_marker")), [*key, "token"]).groupBy(unit).agg(F.count_distinct("token").alias("n"), F.array_join(F.array_sort(F.collect_set("token")), ",").alias("d"), F.bool_or("_marker").alias("m"))
+    return finding(hits, F.col(unit), "residual_source_word", F.when(F.col("m"), "high").otherwise("medium"), F.col("n"), F.col("d"))
+
+
+def terms_in_both(source: DataFrame, target: DataFrame, glossary: DataFrame, key: list[str], unit: str, order: str, text: str, most: int = 6) -> DataFrame:
+    """Foreign glossary terms that stand in both editions of a document: the first ``most`` (a report's length) sections each."""
+    a = glossary_hits(source, glossary, key, text).select(*key, "term")
+    b = glossary_hits(target, glossary, [*key, unit, order], text).join(a, [*key, "term"], "left_semi")
+    n = F.row_number().over(Window.partitionBy(*key, "term").orderBy(order, unit))
+    rows = b.withColumn("_n", n).where(F.col("_n") <= most)
+    return finding(rows, F.col(unit), "foreign_term_in_both", "medium", F.col("hits"), F.col("term"))
+
+
+def structure_findings(books: DataFrame, unit: str) -> DataFrame:
+    """Coded checks of a book's structure over columns opf_path, html_items, spine_items, chapters, has_ncx, metadata_language,
+    detected_language, missing_chapters, canonical, expected_chapters, broken, invalid_titles, suspicious_titles.
+
+    Codes are fixed values. With a canonical map, missing chapters and broken documents are not reported, its count is.
+    """
+    c = F.col
+    none = lambda x: F.coalesce(c(x), F.lit(0)) == 0
+    some = lambda x: F.coalesce(c(x), F.lit(0)) > 0
+    mapped = F.coalesce(c("canonical"), F.lit(False))
+    base = lambda x: F.regexp_extract(F.lower(F.coalesce(c(x), F.lit(""))), "^[a-z]+", 0)
+    checks = [
+        ("MISSING_OPF", "error", F.trim(F.coalesce(c("opf_path"), F.lit(""))) == ""), ("NO_HTML", "error", none("html_items")), ("NO_SPINE", "error", none("spine_items")),
+        ("NO_CHAPTERS", "error", none("chapters")), ("NO_NCX_SOURCE", "warning", ~F.coalesce(c("has_ncx"), F.lit(False))), ("LANGUAGE_MISMATCH", "warning", base("metadata_language") != base("detected_language")),
+        ("MISSING_CHAPTERS", "error", some("missing_chapters") & ~mapped), ("CANONICAL_COUNT_MISMATCH", "warning", mapped & (c("chapters") != c("expected_chapters"))),
+        ("BROKEN_CHAPTERS", "error", some("broken") & ~mapped), ("INVALID_TITLES", "warning", some("invalid_titles")), ("SUSPICIOUS_TITLES", "warning", some("suspicious_titles")),
+    ]
+    rows = F.array_compact(F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(n).alias("code"), F.lit(level).alias("level"))) for n, level, hit in checks)))
+    return books.select(unit, F.explode(rows).alias("x")).select(F.col(unit).cast("string").alias("unit"), "x.code", "x.level")
 
 
 def acronyms(df: DataFrame, unit: str, text: str) -> DataFrame:

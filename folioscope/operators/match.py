@@ -17,15 +17,17 @@ def glossary_hits(texts: DataFrame, glossary: DataFrame, ident: list[str], text:
     """``ident, term, hits``: whole-word occurrences of glossary terms, ignoring case and accents.
 
     Texts are cut into words once and joined with the glossary on a term's first word, then the words behind it are
-    compared; work grows with the words that start a term, not with texts times terms.
+    compared; work grows with the words that start a term, not with texts times terms. With each word travel as many
+    words behind it as the longest term has, never the whole text.
     """
     words = F.regexp_extract_all(fold(F.col(text)), F.lit(WORDS), 0)
     parts = F.regexp_extract_all(fold(F.col(term)), F.lit(WORDS), 0)
     g = glossary.where(F.trim(F.coalesce(F.col(term), F.lit(""))) != "").select(F.col(term).alias("term"), parts.alias("_parts")).where(F.size("_parts") > 0)
     g = g.withColumn("_first", F.col("_parts")[0]).dropDuplicates(["term"])
-    t = texts.select(*ident, words.alias("_words"))
-    at = t.select(*ident, "_words", F.posexplode("_words").alias("_at", "_first"))
-    hit = at.join(g, "_first").where(F.slice("_words", F.col("_at") + 1, F.size("_parts")) == F.col("_parts"))
+    longest = F.coalesce(g.select(F.max(F.size("_parts"))).scalar(), F.lit(1))
+    at = texts.select(*ident, words.alias("_words")).select(*ident, F.posexplode("_words").alias("_at", "_first"), "_words")
+    at = at.select(*ident, "_first", F.slice("_words", F.col("_at") + 1, longest).alias("_ahead"))
+    hit = at.join(g, "_first").where(F.slice("_ahead", F.lit(1), F.size("_parts")) == F.col("_parts"))
     return hit.groupBy(*ident, "term").agg(F.count("*").alias("hits"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,7 +15,8 @@ def reconcile(manifest: DataFrame, present: DataFrame) -> DataFrame:
 def sanitize(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Manifest without versions whose files are gone; the last one is current."""
     kept = manifest.join(present.select("version").distinct(), "version", "left_semi")
-    return kept.withColumn("current", F.col("version") == F.max("version").over(Window.partitionBy()))
+    last = kept.agg(F.max("version").alias("version")).withColumn("current", F.lit(True))
+    return kept.join(last, "version", "left").withColumn("current", F.coalesce("current", F.lit(False)))
 
 
 def working_input(manifest: DataFrame, original: str) -> DataFrame:
