@@ -201,8 +201,8 @@ def marker_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT book_id, edition, section_index, section_id, lead(section_index) OVER (PARTITION BY book_id, edition ORDER BY section_index, section_id) AS end_at FROM {SECTIONS}")
 def chapter_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "sections").dropDuplicates(["section_id"]).select("book_id", "edition", "section_index", "section_id")
-    w = windows.Window.partitionBy("book_id", "edition").orderBy("section_index", "section_id")
-    return s.withColumn("end_at", F.lead("section_index").over(w))
+    starts = s.withColumn("document", F.concat_ws("-", "book_id", "edition")).withColumn("at", F.struct("section_index", "section_id"))
+    return segment.ranges(starts, "document", "at").select("book_id", "edition", "section_index", "section_id", F.col("end_at.section_index").alias("end_at"))
 
 
 @query(r"""
@@ -405,7 +405,7 @@ def jaccard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def name_variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "entities").where("trim(canonical) != ''").groupBy("book_id", F.trim("canonical").alias("name")).agg(F.count("*").alias("n"))
-    return detect.name_variants(names, ["book_id"], "name", "n", total=2)
+    return detect.name_variants(names, ["book_id"], "name", "n")
 
 
 # Glossary ----------------------------------------------------------------------------------------------------------------
@@ -622,8 +622,11 @@ def before_after_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_output_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses against the paragraph they were made from."""
     rows = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
-    p = model_text.output_problems(F.col("instruction"), F.col("output_text"), high=1e9)
+    of = lambda name, origin: table(spark, sf_dir, name).dropDuplicates([f"{origin}_id"]).select(F.lit(origin).alias("origin"), F.col(f"{origin}_id").alias("origin_id"), F.posexplode("paragraphs").alias("paragraph_index", "_source"))
+    rows = rows.join(of("chapters", "chapter").unionByName(of("sections", "section")), ["origin", "origin_id", "paragraph_index"], "left")
+    p = model_text.output_problems(F.col("_source"), F.col("output_text"))
     return rows.select("chunk_id", model_text.worst(p).alias("severity"), F.array_join(F.transform(p, lambda x: x["code"]), ",").alias("codes"))
 
 

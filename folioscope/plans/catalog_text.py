@@ -220,7 +220,7 @@ PRE = model_text.PREAMBLE.replace("(?iu)", "(?i)").replace("'", "''")
 LABEL = model_text.LABEL.replace("(?iu)", "(?i)")
 NO_THINK = "regexp_replace(coalesce(output_text, ''), '(?is)<(?:think|thinking|reasoning)>.*?(?:</(?:think|thinking|reasoning)>|$)', '', 'g')"
 columns("model_output_clean", "chunks", "chunk_id", {
-    "digest": (lambda: F.md5(model_text.clean_output(Q())), rf"md5(trim(regexp_replace(regexp_replace(trim(regexp_replace({NO_THINK}, '(?m)^\s*```\w*\s*$', '', 'g')), '{PRE}', ''), '{LABEL}', '')))"),
+    "digest": (lambda: F.md5(model_text.clean_output(Q())), rf"md5(trim(regexp_replace(regexp_replace(trim(regexp_replace({NO_THINK}, '(?m)^\s*```\w*\s*$', '', 'g'), ' '), '{PRE}', ''), '{LABEL}', ''), ' '))"),
     "thinking": (lambda: model_text.has_thinking(Q()), f"regexp_matches(coalesce(output_text, ''), '{THINK}')"),
     "preamble": (lambda: model_text.has_preamble(Q()), f"regexp_matches(coalesce(output_text, ''), '{PRE}') OR regexp_matches(coalesce(output_text, ''), '{LABEL}')"),
 })

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans import catalog, catalog_text
+from folioscope.plans import catalog, catalog_operators, catalog_text
 
 QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 
-__all__ = ["ORACLE", "QUERIES", "catalog_text"]
+__all__ = ["ORACLE", "QUERIES", "catalog_operators", "catalog_text"]
