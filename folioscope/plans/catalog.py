@@ -640,9 +640,14 @@ def semantic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def comparison_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = spark.createDataFrame([], "stable_key string")
-    categories = spark.createDataFrame([("chapter_missing",), ("numbers_missing",), ("names_missing",), ("editorial",)], "category string")
-    return pipelines.comparison_audit(paired_sections(spark, sf_dir, "full"), table(spark, sf_dir, "terms"), resolved, categories, "unit", "a", "b")[1].select("category", "n")
+    """Resolved are the numbers missing in chapters whose source has no chapter number: a reader checked those by hand."""
+    pairs = paired_sections(spark, sf_dir, "full")
+    s, t = (windows.keep_first(d, ["book_id", "section_index"], ["section_id"]).select("book_id", "section_index", F.col("title").alias(c), F.col("chapter_number").alias(f"{c}_no")) for d, c in zip(editions(spark, sf_dir), ("expected", "title")))
+    pairs = pairs.join(s, ["book_id", "section_index"], "left").join(t, ["book_id", "section_index"], "left")
+    lost = detect.coverage_findings(pairs.where("expected_no IS NULL"), "unit", "a", "b").where("type = 'numbers_missing'")
+    resolved = lost.select(findings.stable_key(F.col("unit"), F.col("type"), F.col("detail")).alias("stable_key"))
+    categories = spark.createDataFrame([("chapter_missing",), ("numbers_missing",), ("names_missing",), ("title_mismatch",), ("residual_phrase",), ("editorial",)], "category string")
+    return pipelines.comparison_audit(pairs, table(spark, sf_dir, "terms"), resolved, categories, "unit", "a", "b", ("title", "expected"), ["of the", "in the", "and the"])[1].select("category", "n")
 
 
 @query(f"""

@@ -24,13 +24,15 @@ def semantic_audit(pairs: DataFrame, glossary: DataFrame, document: str, order:
     return windows.with_ids(kept, "sem", [document], [order, "unit", "rank"]).drop("rank")
 
 
-def comparison_audit(pairs: DataFrame, glossary: DataFrame, resolved: DataFrame, categories: DataFrame, unit: str, source: str, target: str) -> tuple[DataFrame, DataFrame]:
-    """Coverage, terminology and boundary findings: without what is resolved, each once, in report order; and by category."""
+def comparison_audit(pairs: DataFrame, glossary: DataFrame, resolved: DataFrame, categories: DataFrame, unit: str, source: str, target: str, titles: tuple[str, str] | None = None, phrases: list[str] | None = None, more: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Coverage, title, terminology, residual, boundary and ``more`` (character, meaning) findings: without what is resolved,
+    each once, in report order; and by category. ``titles`` are the columns of a title and its expected form."""
     first = lambda c: F.substring_index(F.trim(F.col(c)), "\n", 1)
     opened = pairs.where(F.col(target).isNotNull()).select(unit, first(source).alias("_s"), first(target).alias("_t"))
     found = findings.union_all(
         detect.coverage_findings(pairs, unit, source, target), detect.terminology_findings(pairs.where(F.col(target).isNotNull()), glossary, unit, target),
         detect.boundary_findings(opened, unit, "_s", "_t"),
+        *([detect.title_findings(pairs, unit, *titles)] if titles else []), *([detect.foreign_terms(pairs, unit, target, phrases)] if phrases else []), *(more or []),
     )
     keyed = found.withColumn("stable_key", findings.stable_key(F.col("unit"), F.col("type"), F.col("detail"))).withColumn("category", F.col("type"))
     rest = match.unresolved(keyed, resolved, ["stable_key"])
@@ -62,8 +64,11 @@ def structure(sections: DataFrame, books: DataFrame, book: str, source: str, ind
     rows = rows.withColumn("_late", F.coalesce(F.col("_n") < F.lag("_n").over(w), F.lit(False)))
     out = rows.groupBy(book, source).agg(F.count("*").alias("sections"), F.count_distinct("_n").alias("chapters"), (F.count("_n") - F.count_distinct("_n")).alias("duplicates"), F.count_if("_late").alias("out_of_order"), F.round(F.avg("_c"), 6).alias("confidence"))
     span = books.groupBy(book).agg(F.max(F.col(last) - F.col(first) + 1).alias("_expected"))
-    out = out.join(span, book, "left").withColumn("coverage", F.least(F.lit(1.0), F.col("chapters") / F.coalesce("_expected", "chapters"))).withColumn("conflicts", F.lit(0)).withColumn("priority", F.when(F.col(source) == "source", 2).otherwise(1))
-    return aggregate.source_score(out).drop("_expected", "conflicts", "priority")
+    # Numbers under which titles differ are conflicts.
+    titled = rows.where("_n IS NOT NULL").groupBy(book, source, "_n").agg(F.count_distinct(parsed["title"]).alias("_t")).where("_t > 1").groupBy(book, source).agg(F.count("*").alias("conflicts"))
+    out = out.join(titled, [book, source], "left").na.fill(0, ["conflicts"])
+    out = out.join(span, book, "left").withColumn("coverage", F.least(F.lit(1.0), F.col("chapters") / F.coalesce("_expected", "chapters"))).withColumn("priority", F.when(F.col(source) == "source", 2).otherwise(1))
+    return aggregate.source_score(out).drop("_expected", "priority")
 
 
 def fix_and_compare(texts: DataFrame, unit: str, text: str, rules: correct.Rules, checks: list[detect.Rule]) -> DataFrame:

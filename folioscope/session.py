@@ -31,11 +31,14 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, a laptop) a folder of our own is made and kept for the session.
+    Only where the setting is absent, on one machine (tests, a laptop), a folder of our own is made and kept for the
+    session; on a cluster, where each machine would write to its own disk, its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = spark.conf.get("folioscope.shared.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="folioscope-")
@@ -46,11 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder as compressed Parquet and read it back.
 
-    A stage survives the loss of executors, is read column by column, and gives the next plan exact sizes.
+    A stage survives the loss of executors, is read column by column, and gives the next plan exact sizes. Stages are
+    deleted when the driver's JVM ends, since the frames read from them may be used until then.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "stages", uuid.uuid4().hex)
     df.write.option("compression", "zstd").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

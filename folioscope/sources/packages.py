@@ -202,6 +202,31 @@ def build_epub(title: str, language: str, chapters: list[tuple[str, list[str]]])
     return write_zip(members + [(f"OEBPS/{n}", page(t, ps).encode()) for (t, ps), n in zip(chapters, names)])
 
 
+def build_docx(paragraphs: list[tuple[str, str | None]]) -> bytes:
+    """A small DOCX of paragraphs ``(text, style)``: one ``w:p`` a line of text, style null for plain ones."""
+    from html import escape
+
+    line = lambda t, style: "<w:p>" + (f'<w:pPr><w:pStyle w:val="{escape(style)}"/></w:pPr>' if style else "") + f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
+    body = "".join(line(t, style) for text, style in paragraphs for t in text.split("\n"))
+    document = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'
+    types = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+    rels = '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+    return write_zip([("[Content_Types].xml", types.encode()), ("_rels/.rels", rels.encode()), ("word/document.xml", document.encode())])
+
+
+def docx_of(sections: DataFrame, key: str, order: str) -> DataFrame:
+    """One DOCX a group of chapters (``key``), in order: ``key, content``; a title is a heading, null paragraphs are empty lines."""
+    kind = sections.schema[key].dataType.simpleString()
+
+    def one(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple[str, str | None]] = []
+        for t, ps in f.sort_values(order)[["title", "paragraphs"]].itertuples(index=False):
+            rows += ([(t, "Heading1")] if isinstance(t, str) else []) + [(p or "", None) for p in (ps if ps is not None else [])]
+        return pd.DataFrame([(k[0], build_docx(rows))], columns=[key, "content"])
+
+    return sections.select(key, order, "title", "paragraphs").groupBy(key).applyInPandas(one, f"`{key}` {kind}, content binary")
+
+
 def epubs_of(sections: DataFrame, key: str, title: str, language: str) -> DataFrame:
     """One package a book, built where its sections meet: ``key, content``."""
     kind = sections.schema[key].dataType.simpleString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -56,11 +56,16 @@ def purchases_after_error(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, recovered bigint", "waiting boolean, found bigint", "update", "NoTimeout")
 
 
-def upsert_batches(stream: DataFrame, folder: str, key: list[str], checkpoint: str):
-    """A sink that keeps the last row of each key, idempotent by batch number: a batch written twice is the same batch."""
+def upsert_batches(stream: DataFrame, folder: str, key: list[str], checkpoint: str, order: list[str] | None = None):
+    """A sink that keeps the last row of each key in each batch, idempotent by batch number: a batch written twice is the same batch.
+
+    The last row is that of the greatest ``order`` columns (all others by default, so the choice is never arbitrary).
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        by = [F.desc(c) for c in order or [c for c in batch.columns if c not in key]]
+        last = batch.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where("_r = 1").drop("_r") if by else batch.dropDuplicates(key)
+        last.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from folioscope.plans import catalog
+from folioscope.plans import queries as catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +61,20 @@ def test_groups_of_both_editions(spark):
     got = catalog.QUERIES["group_by_size"](spark, SF).groupBy("edition").count().collect()
     want = spark.read.parquet(f"{SF}/sections.parquet").dropDuplicates(["section_id"]).groupBy("edition").count().collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want}
+
+
+def test_glossary_words_travel_without_their_text(spark):
+    """What crosses the join with the glossary is a word and the few behind it, never the array of all words."""
+    from folioscope.operators import match
+
+    docs, terms = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "terms"))
+    plan = match.glossary_hits(docs, terms, ["doc_id"], "text")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :]
+    below = join[: join.index("Generate")]
+    assert "_ahead" in below and "_words" not in below.split("slice(")[0]
+
+
+def test_resolved_findings_are_left_out(spark):
+    got = {r.category: r.n for r in catalog.QUERIES["comparison_audit"](spark, SF).collect()}
+    numbers = catalog.QUERIES["coverage_findings"](spark, SF).where("type = 'numbers_missing'").count()
+    assert set(got) >= {"title_mismatch", "residual_phrase"} and got["numbers_missing"] <= numbers

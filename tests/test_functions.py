@@ -63,8 +63,11 @@ def test_heading(spark, line, number, title, kind):
 def test_numbers_in_words(spark):
     assert values(spark, ["Capítulo XIV", "Capítulo vinte e três — A porta", "Chapter 9: Z"], headings.printed_number(F.col("t"))) == [14, 23, 9]
     assert values(spark, ["book 061-120.epub"], headings.file_range(F.col("t"))) == [(61, 120)]
-    q = values(spark, ["", "text.xhtml", "Chapter 3", "The gate"], headings.title_quality(F.col("t"))["quality"])
-    assert q == ["invalid", "invalid", "suspicious", "valid"]
+    titles = ["", "text.xhtml", "Capítulo 3", "The gate", "***", "<b>Untitled</b>", "“Who is there?”", "He went to the river.", "A title of more than eight words is a fragment", "x" * 95, "a. b c d e f g"]
+    q = [tuple(r) for r in values(spark, titles, headings.title_quality(F.col("t")))]
+    assert [x[1] for x in q] == ["EMPTY_TITLE", "FILENAME_TITLE", "GENERIC_TITLE", "CHAPTER_PATTERN", "GENERIC_TITLE", "GENERIC_TITLE", "TEXT_FRAGMENT_TITLE", "TEXT_FRAGMENT_TITLE", "TEXT_FRAGMENT_TITLE", "UNKNOWN_PATTERN", "UNKNOWN_PATTERN"]
+    assert [x[0] for x in q] == ["valid" if r == "CHAPTER_PATTERN" else "invalid" for _, r in q]
+    assert values(spark, ["x" * 95], headings.title_quality(F.col("t"), 40, 200)["quality"]) == ["suspicious"]
 
 
 @settings(max_examples=25, deadline=None)

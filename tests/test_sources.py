@@ -75,3 +75,14 @@ def test_stream_equals_batch(spark, tmp_path):
     state = events.run_to_memory(events.purchases_after_error(live), "recovered_out", "update")
     final = {r.user_id: r.recovered for r in state.groupBy("user_id").agg(F.max("recovered").alias("recovered")).collect()}
     assert len(final) == batch.select("user_id").distinct().count()
+
+
+def test_docx_round_trip(spark, tmp_path):
+    from folioscope.sources import packages
+
+    df = spark.createDataFrame([("b", 1, "Two & more", ["c"]), ("b", 0, "One", ["a <b>", None, "x\ny"]), ("d", 0, None, None)], "k string, i int, title string, paragraphs array<string>")
+    for r in packages.docx_of(df, "k", "i").collect():
+        (tmp_path / f"{r.k}.docx").write_bytes(r.content)
+    back = packages.docx_paragraphs(packages.files(spark, str(tmp_path), "*.docx"))
+    got = [(r.text, r.heading_level) for r in back.where("file LIKE '%b.docx' AND text IS NOT NULL").orderBy("paragraph_index").collect() if r.text]
+    assert got == [("One", 1), ("a <b>", None), ("x", None), ("y", None), ("Two & more", 1), ("c", None)]
