@@ -125,8 +125,10 @@ def has_number(c: Column, number: Column) -> Column:
     return alone(number) | F.coalesce(alone(hundredfold) & c.rlike(r"(?iu)\d\s*cm\b"), F.lit(False))
 
 
-#: Words that start sentences and are no names.
-NO_NAMES = "The A An And But When Then This That With He She His Her They It I O Os As Um Uma Ele Ela Eles Elas Isso Então Quando Como Para Com Sem Mas Seção El La Los Las Un Una Le Les Des Il Elle".split()
+#: English and Portuguese words that start sentences and are no names.
+STARTERS = "The A An And But When Then This That With He She His Her They It I O Os As Um Uma Ele Ela Eles Elas Isso Então Quando Como Para Com Sem Mas Seção".split()
+#: Spanish and French ones, for the other languages of the tables. Pass ``STARTERS`` as ``blocked`` to go without them.
+NO_NAMES = [*STARTERS, *"El La Los Las Un Una Le Les Des Il Elle".split()]
 
 
 def proper_names(c: Column, blocked: list[str] | None = None) -> Column:
