@@ -166,22 +166,26 @@ def name_variants(names: DataFrame, block: list[str], name: str, count: str, ali
     """Groups of spellings of one name within a block: the most frequent leads, the others join in order of frequency.
 
     Candidates come from a pigeonhole segment join within the block, which is complete for the similarity: of the longer
-    name (length L) cut into k+1 segments, k = (1 - alike) * L, one is in the shorter name, shifted by at most k. The
-    greedy choice runs over the few candidates.
+    name (length L) cut into k+1 segments, k = (1 - alike) * L, the first that is unchanged after as many edits as there are
+    segments before it stands in the shorter name, shifted by at most those edits, and on its right by at most the edits left.
+    The greedy choice runs over the few candidates. Rows grow where names are cut, behind the planner's estimate, so no side
+    of these joins may be broadcast.
     """
     rows = names.select(*block, F.col(name).alias("name"), F.col(count).alias("n"), F.regexp_replace(comparable(F.col(name)), " ", "").alias("_low")).where("name IS NOT NULL AND _low != ''")
     kinds = ", ".join(f"`{c}` {names.schema[c].dataType.simpleString()}" for c in block)
-    size, length = F.length("_low"), F.col("_length")
+    size, length, part = F.length("_low"), F.col("_length"), F.col("_part")
     k = F.floor((1 - alike) * length + 1e-9).cast("int")
-    start, end = (F.floor((F.col("_part") + x) * length / (k + 1)).cast("int") for x in (0, 1))
-    at = start + F.col("_shift")
+    start, end = (F.floor((part + x) * length / (k + 1)).cast("int") for x in (0, 1))
     cut = lambda d: d.withColumn("_part", F.explode(F.sequence(F.lit(0), k)))
     index = cut(rows.withColumn("_length", size)).select(*block, "_length", "_part", F.substring(F.col("_low"), start + 1, end - start).alias("_segment"), F.col("name").alias("_long"))
-    probe = cut(rows.withColumn("_length", F.explode(F.sequence(size, F.floor(size / alike + 1e-9).cast("int"))))).withColumn("_shift", F.explode(F.sequence(-k, k))).where((at >= 0) & (at + end - start <= size))
-    probe = probe.select(*block, "_length", "_part", F.substring(F.col("_low"), at + 1, end - start).alias("_segment"), F.col("name").alias("_short")).distinct()
-    found = probe.join(index, [*block, "_length", "_part", "_segment"]).where("_long != _short").select(*block, F.explode(F.array(F.struct(F.col("_long").alias("x"), F.col("_short").alias("y")), F.struct(F.col("_short").alias("x"), F.col("_long").alias("y")))).alias("_p"))
+    probe = cut(rows.withColumn("_length", F.explode(F.sequence(size, F.least(F.floor(size / alike + 1e-9).cast("int"), size + gap)))))
+    first = F.greatest(start + F.greatest(-part, size - length - (k - part)), F.lit(0))
+    last = F.least(start + F.least(part, size - length + (k - part)), size - (end - start))
+    segments = F.array_distinct(F.transform(F.sequence(first, last), lambda at: F.substring(F.col("_low"), at + 1, end - start)))
+    probe = probe.where(first <= last).select(*block, "_length", "_part", F.explode(segments).alias("_segment"), F.col("name").alias("_short"))
+    found = probe.join(index.hint("merge"), [*block, "_length", "_part", "_segment"]).where("_long != _short").select(*block, F.explode(F.array(F.struct(F.col("_long").alias("x"), F.col("_short").alias("y")), F.struct(F.col("_short").alias("x"), F.col("_long").alias("y")))).alias("_p"))
     found = found.select(*block, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y")).distinct()
-    a, b = (rows.select(*block, F.col("name").alias(k_), F.struct("name", "n", F.col("_low").alias("low")).alias(s_)) for k_, s_ in (("_x", "a"), ("_y", "b")))
+    a, b = (rows.select(*block, F.col("name").alias(k_), F.struct("name", "n", F.col("_low").alias("low")).alias(s_)).hint("merge") for k_, s_ in (("_x", "a"), ("_y", "b")))
     near = found.join(a, [*block, "_x"]).join(b, [*block, "_y"]).where("a.n > b.n OR (a.n = b.n AND a.name < b.name)").where(F.abs(F.length("a.low") - F.length("b.low")) <= gap)
     near = near.where(edit_similarity(F.col("a.low"), F.col("b.low")) >= alike)
     near = near.select(*block, F.col("a.name").alias("lead"), F.col("a.n").alias("lead_n"), F.col("b.name").alias("variant"), F.col("b.n").alias("variant_n"))
