@@ -33,8 +33,8 @@ GAIN, FURTHER = 0.05, 0.06
 ROUNDS = 4
 #: Least number of shared documents, least concept similarity, and dimensions of a word.
 SHARED, ALIKE, DIMENSIONS = 3, 0.15, 8
-#: Words in at most this many chapters of each edition of a book pair chapters at any distance, others within two bands.
-RARE, BAND = 12, 8
+#: Source chapters of a book that one group compares with all chapters of its translation.
+DEALT = 64
 #: Least cosine of two chapters, and of two sentences from which concepts are refined.
 CHAPTERS, REFINE = 0.3, 0.5
 #: The first concepts are those of words in at most this share of the chapters; the common words follow with the refined ones.
@@ -63,15 +63,14 @@ def words_of(text: Column) -> Column:
 
 
 def sentences_of(nodes: DataFrame) -> DataFrame:
-    """Sentences in order with their words: book_id, edition, section_id, at, node_id, idx (from 1), pos (0 to 1), words."""
+    """Sentences in order with their words: book_id, edition, section_id, node_id, idx (from 1), pos (0 to 1), words."""
     rows = nodes.select("book_id", "edition", "section_id", "node_id", "node_key", "text").where("text IS NOT NULL AND edition IN ('source', 'translation')")
     rows = rows.where(F.col("text").rlike(r"[\p{L}\p{N}]") & ~F.col("text").rlike(NOTES))
     section = Window.partitionBy("book_id", "edition", "section_id").orderBy("node_key", "node_id")
     whole = Window.partitionBy("book_id", "edition", "section_id")
     rows = rows.withColumn("_rank", F.dense_rank().over(section)).withColumn("_again", F.lag("node_id").over(section) == F.col("node_id"))
     rows = rows.withColumn("pos", F.col("_rank") / F.max("_rank").over(whole)).where("_again IS NULL OR NOT _again")
-    at = F.regexp_extract("node_key", r"^s(\d+)", 1).cast("int")
-    return rows.select("book_id", "edition", "section_id", F.coalesce(at, F.lit(0)).alias("at"), "node_id", F.col("_rank").alias("idx"), "pos", words_of(F.col("text")).alias("words"))
+    return rows.select("book_id", "edition", "section_id", "node_id", F.col("_rank").alias("idx"), "pos", words_of(F.col("text")).alias("words"))
 
 
 def languages_of(books: DataFrame, terms: DataFrame) -> DataFrame:
@@ -92,23 +91,22 @@ def languages_of(books: DataFrame, terms: DataFrame) -> DataFrame:
 def chapter_pairs(terms: DataFrame, shared: DataFrame) -> DataFrame:
     """Mutual best chapters ``book_id, pair, target_section`` by the cosine of their shared words; pair is the source section.
 
-    ``terms``: book_id, edition, section_id, at, term, tf. ``shared``: book_id, term, ds, dt of words in both editions.
+    ``terms``: book_id, edition, section_id, term, tf. ``shared``: book_id, term, ds, dt of words in both editions. All shared
+    words count at any distance. The source chapters of a book are dealt into groups, each with the whole translation, and
+    the products of two words are summed up where they are made.
     """
     sizes = terms.groupBy("book_id").agg(F.count_distinct("edition", "section_id").alias("_n"))
     weight = (1 + F.log("tf")) * F.log(1 + F.col("_n") / (F.col("ds") + F.col("dt")))
     weighed = terms.join(shared, ["book_id", "term"]).join(sizes, "book_id").withColumn("w", weight)
     norms = weighed.groupBy("section_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = lambda e, x: weighed.where(F.col("edition") == e).select("book_id", "term", F.col("section_id").alias(x), "at", F.col("w").alias(f"w_{x}"), ((F.col("ds") <= RARE) & (F.col("dt") <= RARE)).alias("rare"))
-    s, t = side("source", "s"), side("translation", "t")
-    band = F.floor(F.col("at") / BAND)
-    product = (F.col("w_s") * F.col("w_t")).alias("p")
-    far = s.where("rare").drop("rare", "at").join(t.where("rare").drop("rare", "at"), ["book_id", "term"]).select("book_id", "s", "t", product)
-    near = (
-        s.where("NOT rare").withColumn("_band", band).drop("rare", "at")
-        .join(t.where("NOT rare").withColumn("_band", F.explode(F.array(band - 1, band, band + 1))).drop("rare", "at"), ["book_id", "term", "_band"])
-        .select("book_id", "s", "t", product)
-    )
-    dots = far.unionByName(near).groupBy("book_id", "s", "t").agg(F.sum("p").alias("dot"))
+    deals = F.ceil(F.count_distinct(F.when(F.col("edition") == "source", F.col("section_id"))) / DEALT)
+    dealt = weighed.select("book_id", "edition", "section_id", "term", "w").join(terms.groupBy("book_id").agg(deals.alias("_deals")).where("_deals > 0"), "book_id")
+    groups = F.when(F.col("edition") == "source", F.array(F.pmod(F.xxhash64("section_id"), F.col("_deals")))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("_deals") - 1))
+    dealt = dealt.withColumn("_deal", F.explode(groups)).drop("_deals").repartition("book_id", "_deal")
+    side = lambda e: F.collect_list(F.when(F.col("edition") == e, F.struct("section_id", "w")))
+    lists = dealt.groupBy("book_id", "_deal", "term").agg(side("source").alias("_s"), side("translation").alias("_t"))
+    each = lists.select("book_id", "_deal", F.explode("_s").alias("_x"), "_t").select("book_id", "_deal", "_x", F.explode("_t").alias("_y"))
+    dots = each.groupBy("book_id", "_deal", F.col("_x.section_id").alias("s"), F.col("_y.section_id").alias("t")).agg(F.sum(F.col("_x.w") * F.col("_y.w")).alias("dot")).drop("_deal")
     cos = dots.join(norms.toDF("s", "ns"), "s").join(norms.toDF("t", "nt"), "t").withColumn("cos", F.col("dot") / (F.col("ns") * F.col("nt"))).where(F.col("cos") >= CHAPTERS)
     best = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("cos"), y)) == 1
     mutual = cos.withColumn("_a", best("s", "t")).withColumn("_b", best("t", "s")).where("_a AND _b")
@@ -223,8 +221,8 @@ def align(nodes: DataFrame, books: DataFrame, least: float = LEAST) -> DataFrame
     """Sentences that render one another: ``source_node, target_node, cos``."""
     sentences = staged(sentences_of(nodes))
     terms = staged(
-        sentences.select("book_id", "edition", "section_id", "at", F.explode("words").alias("term"))
-        .groupBy("book_id", "edition", "section_id", "term").agg(F.min("at").alias("at"), F.count("*").alias("tf"))
+        sentences.select("book_id", "edition", "section_id", F.explode("words").alias("term"))
+        .groupBy("book_id", "edition", "section_id", "term").agg(F.count("*").alias("tf"))
     )
     each = lambda e: F.count(F.when(F.col("edition") == e, 1))
     shared = staged(terms.groupBy("book_id", "term").agg(each("source").alias("ds"), each("translation").alias("dt")).where("ds > 0 AND dt > 0"))

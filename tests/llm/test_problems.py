@@ -403,6 +403,30 @@ def test_alignment(spark):
     assert alignment.align(df.limit(0), books.limit(0)).count() == 0
 
 
+def test_chapters_pair_at_any_distance(spark):
+    """Chapters that share only words of many chapters pair wherever they stand, in a book of more chapters than one group holds."""
+    import random
+    from collections import Counter
+    from math import log, sqrt
+
+    r = random.Random(3)
+    n, bag = 90, [f"w{i}" for i in range(60)]  # each word in a quarter of the chapters
+    told = {c: r.sample(bag, 15) for c in range(n)}
+    terms = [(1, "source", c, w, 1 + i % 3) for c, ws in told.items() for i, w in enumerate(ws)]
+    terms += [(1, "translation", 1000 + c, w, 1 + i % 3) for c, ws in told.items() for i, w in enumerate(ws)]
+    # The translation has the chapters in the opposite order.
+    df = spark.createDataFrame([(b, e, s, s if e == "source" else 1089 - s, w, k) for b, e, s, w, k in terms], "book_id bigint, edition string, section_id bigint, at int, term string, tf bigint")
+    each = lambda e: F.count(F.when(F.col("edition") == e, 1))
+    shared = df.groupBy("book_id", "term").agg(each("source").alias("ds"), each("translation").alias("dt"))
+    got = {(x.pair, x.target_section) for x in alignment.chapter_pairs(df, shared).collect()}
+    df_ = Counter(w for ws in told.values() for w in ws)
+    vec = {c: {w: (1 + log(1 + i % 3)) * log(1 + 2 * n / (2 * df_[w])) for i, w in enumerate(ws)} for c, ws in told.items()}
+    norm = {c: sqrt(sum(x * x for x in v.values())) for c, v in vec.items()}
+    cos = {(a, b): sum(x * vec[b].get(w, 0) for w, x in vec[a].items()) / norm[a] / norm[b] for a in vec for b in vec}
+    want = {(a, 1000 + max(range(n), key=lambda b: cos[a, b])) for a in range(n)}
+    assert min(df_.values()) > 12 and got == want == {(c, 1000 + c) for c in range(n)}
+
+
 def test_windows_need_no_joiner(spark):
     """Two sentences that one sentence renders are found by their vectors alone: neighbours, and parts that stand apart."""
     unit = lambda place, *dims: [(1, place, place / 20.0, d, 1.0) for d in dims]
