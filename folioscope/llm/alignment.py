@@ -89,7 +89,7 @@ def languages_of(books: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def chapter_pairs(terms: DataFrame, shared: DataFrame) -> DataFrame:
-    """Mutual best chapters ``book_id, pair, target_section`` by the cosine of their shared words; pair is the source section.
+    """Mutual best chapters ``book_id, pair, target_section`` by the cosine of their shared words, in rounds; pair is the source section.
 
     ``terms``: book_id, edition, section_id, term, tf. ``shared``: book_id, term, ds, dt of words in both editions. All shared
     words count at any distance. The source chapters of a book are dealt into groups, each with the whole translation, and
@@ -108,9 +108,8 @@ def chapter_pairs(terms: DataFrame, shared: DataFrame) -> DataFrame:
     each = lists.select("book_id", "_deal", F.explode("_s").alias("_x"), "_t").select("book_id", "_deal", "_x", F.explode("_t").alias("_y"))
     dots = each.groupBy("book_id", "_deal", F.col("_x.section_id").alias("s"), F.col("_y.section_id").alias("t")).agg(F.sum(F.col("_x.w") * F.col("_y.w")).alias("dot")).drop("_deal")
     cos = dots.join(norms.toDF("s", "ns"), "s").join(norms.toDF("t", "nt"), "t").withColumn("cos", F.col("dot") / (F.col("ns") * F.col("nt"))).where(F.col("cos") >= CHAPTERS)
-    best = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("cos"), y)) == 1
-    mutual = cos.withColumn("_a", best("s", "t")).withColumn("_b", best("t", "s")).where("_a AND _b")
-    return mutual.select("book_id", F.col("s").alias("pair"), F.col("t").alias("target_section"))
+    mutual = mutual_best(cos.select(F.col("book_id").alias("pair"), F.array("s", "t").alias("places"), "cos", F.col("cos").alias("rank")))
+    return mutual.select(F.col("pair").alias("book_id"), F.col("places")[0].alias("pair"), F.col("places")[1].alias("target_section"))
 
 
 def concepts(documents: DataFrame) -> DataFrame:
